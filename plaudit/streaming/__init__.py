@@ -1,0 +1 @@
+"""Left empty on purpose: reviews carry no event time, so there is no stream operator to build."""
