@@ -23,7 +23,7 @@ NA_FIELDS = """
 
 def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound reviews with every field of the schema; absent ones are null."""
-    rows = b.reviews(spark, sf_dir)
+    rows = b.reviews(spark, sf_dir, spread=True)
     return rows.select("fileIndex", *[
         F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schemas.REVIEW_FIELDS])
 
