@@ -42,13 +42,14 @@ def number_reviews(
 ) -> DataFrame:
     """0-based running number over (directory, file), both compared as integers.
 
+    Rows whose names are not integers (stray files) are dropped.
     A directory may hold any share of the files, so it is cut into blocks of 65,536 file numbers.
     Only the block sizes are summed up in order, from the two name columns; the wide rows are
     shuffled once, to be numbered inside their block.
     """
     block = [F.col(directory).try_cast("long").alias("_dir"),
              F.shiftright(F.col(file).try_cast("long"), BLOCK_BITS).alias("_block")]
-    rows = df.select("*", *block)
+    rows = df.select("*", *block).where("_dir IS NOT NULL AND _block IS NOT NULL")
     sizes = rows.groupBy("_dir", "_block").agg(F.count("*").alias("_size"))
     starts = running_total(sizes, ["_dir", "_block"], F.col("_size"), "_before")
     starts = materialize(starts.select("_dir", "_block", "_before"), "block-starts")

@@ -121,24 +121,26 @@ def brand_median_rating(histogram: DataFrame, min_reviews: int = 0) -> DataFrame
 
 
 def brand_rating_box(histogram: DataFrame, min_reviews: int = 0) -> DataFrame:
-    """Box-plot numbers per brand, with fences at 1.5 quartile ranges and the count beyond them."""
-    quartiles = F.percentile("rating", [0.25, 0.5, 0.75], F.col("n_rated"))
+    """Box-plot numbers per brand, with fences at 1.5 quartile ranges and the count beyond them.
+
+    The quartiles are put beside the brand's few rating counts, so the tally is read once.
+    """
+    brand = Window.partitionBy(BRAND)
+    quartiles = F.percentile("rating", [0.25, 0.5, 0.75], F.col("n_rated")).over(brand)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
-    boxes = (histogram.groupBy(BRAND)
-             .agg(F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
-                  quartiles.alias("_q"), F.sum("n").alias("n"))
-             .where(F.col("n") > min_reviews)
-             .select(BRAND, "n", "min_rating", F.col("_q")[0].alias("q1"),
-                     F.col("_q")[1].alias("median_rating"), F.col("_q")[2].alias("q3"),
-                     "max_rating")
-             .withColumns({"lower_fence": F.col("q1") - spread,
-                           "upper_fence": F.col("q3") + spread}))
+    fenced = (histogram.withColumn("_q", quartiles)
+              .withColumns({"q1": F.col("_q")[0], "median_rating": F.col("_q")[1],
+                            "q3": F.col("_q")[2]})
+              .withColumns({"lower_fence": F.col("q1") - spread,
+                            "upper_fence": F.col("q3") + spread}))
     outside = ((F.col("rating") < F.col("lower_fence"))
                | (F.col("rating") > F.col("upper_fence")))
-    beyond = (histogram.join(boxes.select(BRAND, "lower_fence", "upper_fence"), BRAND)
-              .groupBy(BRAND)
-              .agg(F.sum(F.when(outside, F.col("n_rated")).otherwise(0)).alias("n_outside")))
-    return boxes.join(beyond, BRAND)
+    boxes = ("q1", "median_rating", "q3", "lower_fence", "upper_fence")
+    return (fenced.groupBy(BRAND)
+            .agg(F.sum("n").alias("n"), F.min("rating").alias("min_rating"),
+                 F.max("rating").alias("max_rating"), *[F.first(c).alias(c) for c in boxes],
+                 F.sum(F.when(outside, F.col("n_rated")).otherwise(0)).alias("n_outside"))
+            .where(F.col("n") > min_reviews))
 
 
 def brand_rating_violin_stats(histogram: DataFrame, min_reviews: int = 20) -> DataFrame:
@@ -152,20 +154,18 @@ def brand_rating_density(histogram: DataFrame, min_reviews: int = 20) -> DataFra
     The bandwidth is Scott's: sample deviation times n^(-1/5). Brands with one rating value have
     no density and are left out. The sum runs over the counted rating values, not over reviews.
     """
-    rated = histogram.where(F.col("rating").isNotNull())
+    brand = Window.partitionBy(BRAND)
     n, x = F.col("n_rated").cast("double"), F.col("rating").cast("double")
-    moments = (rated.groupBy(BRAND)
-               .agg(F.sum("n").alias("n"), F.sum(n).alias("_n"), F.sum(n * x).alias("_s1"),
-                    F.sum(n * x * x).alias("_s2"), F.min(x).alias("_low"), F.max(x).alias("_high"))
-               .where((F.col("n") > min_reviews) & (F.col("_low") < F.col("_high"))))
+    sums = histogram.where(F.col("rating").isNotNull()).withColumns({
+        "_reviews": F.sum("n").over(brand), "_n": F.sum(n).over(brand),
+        "_s1": F.sum(n * x).over(brand), "_s2": F.sum(n * x * x).over(brand),
+        "_low": F.min(x).over(brand), "_high": F.max(x).over(brand)})
     variance = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)
-    shaped = moments.select(BRAND, "_n", "_low", "_high",
-                            (F.sqrt(variance) * F.pow("_n", F.lit(-0.2))).alias("_h"))
     step = (F.col("_high") - F.col("_low")) / (GRID - 1)
-    points = (rated.join(shaped, BRAND)
-              .select(BRAND, "rating", "n_rated", "_n", "_low", "_h", step.alias("_step"),
-                      F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("point"))
-              .withColumn("x", F.col("_low") + F.col("point") * F.col("_step")))
+    points = (sums.where((F.col("_reviews") > min_reviews) & (F.col("_low") < F.col("_high")))
+              .withColumns({"_h": F.sqrt(variance) * F.pow("_n", F.lit(-0.2)),
+                            "point": F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))})
+              .withColumn("x", F.col("_low") + F.col("point") * step))
     away = (F.col("x") - F.col("rating")) / F.col("_h")
     kernel = F.exp(-0.5 * away * away) / (F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
     return points.groupBy(BRAND, "point").agg(

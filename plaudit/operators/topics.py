@@ -46,11 +46,12 @@ def fit_topics(
 
     Pass stored tokens: the corpus is read again in every sweep.
     """
-    terms = docs.select(F.explode_outer(tokens).alias("t")).where("t IS NOT NULL").distinct().count()
-    if not 0 < terms <= max_terms:
-        raise ValueError(f"{terms} terms; a topic model takes 1 to {max_terms}")
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=terms, minDF=1.0)
+    # One term more than allowed is asked for, so a vocabulary that is too large shows.
+    counter = CountVectorizer(
+        inputCol=tokens, outputCol="features", vocabSize=max_terms + 1, minDF=1.0)
     counted = counter.fit(docs)
+    if len(counted.vocabulary) > max_terms:
+        raise ValueError(f"more than {max_terms} terms; raise max_terms or drop rare terms")
     features = counted.transform(docs).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lda = LDA(k=k, maxIter=sweeps, seed=seed, optimizer="online", subsamplingRate=1.0,

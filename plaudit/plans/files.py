@@ -60,7 +60,7 @@ def product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_csv_drop_malformed", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def scan_csv_drop_malformed(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents")
+    docs = b.documents(spark, sf_dir)
     path = new_path(spark, "documents-csv")
     csv_sink.write_review_csv(docs, path)
     bad = [(",".join(docs.columns),), ("no number,too short",)]

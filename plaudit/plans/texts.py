@@ -59,7 +59,7 @@ SELECT term FROM doc_terms WHERE term IN ({sql_list(stopwords.TOOLKIT)})
 UNION SELECT term FROM doc_terms WHERE term IN ({sql_list(stopwords.PLAIN)})"""))
 def union_stop_words(spark, sf_dir):
     """The stop words that the documents use, from either list."""
-    used = words.term_counts(_tokens(spark, sf_dir), "doc_id").select("term")
+    used = _tokens(spark, sf_dir).select(F.explode_outer("tokens").alias("term"))
     first = used.where(stopwords.is_stop_word(F.col("term"), stopwords.TOOLKIT))
     second = used.where(stopwords.is_stop_word(F.col("term"), stopwords.PLAIN))
     return numbering.union_words(first, second)

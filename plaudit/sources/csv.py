@@ -12,7 +12,8 @@ from plaudit import schemas
 from plaudit.functions.missing import na_to_null
 
 QUOTING = {"quote": '"', "escape": '"'}
-READING = {**QUOTING, "header": True, "multiLine": True}
+# A null value that no field has keeps an empty quoted text apart from a missing field.
+READING = {**QUOTING, "header": True, "multiLine": True, "nullValue": "\0"}
 
 
 def read_csv_drop_malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
