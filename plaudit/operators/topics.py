@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 # Topics, words shown per topic and sweeps over the corpus.
 TOPICS, TOPIC_WORDS, SWEEPS = 5, 5, 20
 
+# How fast old batches are forgotten (Spark wants a decay above one half).
+LEARNING_OFFSET, LEARNING_DECAY = 1.0, 0.51
+
 # The model is a dense topics x terms matrix that every task receives: 5 x 2,000,000 doubles
 # are 80 MB. A larger vocabulary is refused, never cut.
 MAX_TERMS = 2_000_000
@@ -44,7 +47,7 @@ def fit_topics(
 ) -> TopicModel:
     """LDA with a learned, asymmetric document prior over the whole vocabulary.
 
-    Pass stored tokens: the corpus is read again in every sweep.
+    Each sweep is one batch of the whole corpus. Pass stored tokens: they are read in every sweep.
     """
     # One term more than allowed is asked for, so a vocabulary that is too large shows.
     counter = CountVectorizer(
@@ -55,6 +58,7 @@ def fit_topics(
     features = counted.transform(docs).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lda = LDA(k=k, maxIter=sweeps, seed=seed, optimizer="online", subsamplingRate=1.0,
+                  learningOffset=LEARNING_OFFSET, learningDecay=LEARNING_DECAY,
                   optimizeDocConcentration=True, featuresCol="features")
         return TopicModel(lda.fit(features), counted.vocabulary)
     finally:

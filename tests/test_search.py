@@ -1,7 +1,7 @@
 import pytest
 from conftest import plan_of
 
-from plaudit.operators import joins, search, summary
+from plaudit.operators import joins, report, search, summary
 
 
 def ids(df):
@@ -105,3 +105,13 @@ def test_hot_product_join_is_split_and_whole(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_report_holds_every_chart_table(reviews, products):
+    tables = report.search_report(reviews, products, "dark circle", age="35-44")
+    assert {(r.Brand_name, r.n, r.share) for r in tables["top_brands"].collect()} == {("Alpha", 2, 1.0)}
+    assert [(r.Product_name, r.n) for r in tables["top_products"].collect()] == [("Glow", 2)]
+    assert [(r.median_rating, r.n) for r in tables["median_rating"].collect()] == [(5.0, 2)]
+    assert [(r.q1, r.q3, r.n_outside) for r in tables["rating_box"].collect()] == [(5.0, 5.0, 0)]
+    assert tables["rating_density"].count() == 0
+    assert tables["points"].count() == 2
