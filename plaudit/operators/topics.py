@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, functions as F
@@ -25,16 +27,22 @@ class TopicModel:
     model: LDAModel
     vocabulary: list[str]
 
-    def topics(self, words: int | None = None) -> DataFrame:
-        """(topic, rank, term, weight): the heaviest words, or all, of each topic."""
+    def weights(self, words: int | None = None) -> DataFrame:
+        """(topic, rank, term_index, weight): the heaviest terms, or all, of each topic."""
         shown = self.model.describeTopics(words or len(self.vocabulary))
-        spark = shown.sparkSession
-        names = spark.createDataFrame(list(enumerate(self.vocabulary)), "term_index INT, term STRING")
-        listed = shown.select("topic", F.posexplode(
+        ranked = shown.select("topic", F.posexplode(
             F.arrays_zip("termIndices", "termWeights")).alias("rank", "_w"))
-        return (listed.join(names, F.col("_w.termIndices") == names["term_index"])
-                .select("topic", (F.col("rank") + 1).alias("rank"), "term",
-                        F.col("_w.termWeights").alias("weight")))
+        return ranked.select("topic", (F.col("rank") + 1).alias("rank"),
+                             F.col("_w.termIndices").alias("term_index"),
+                             F.col("_w.termWeights").alias("weight"))
+
+    def topics(self, words: int | None = None) -> DataFrame:
+        """(topic, rank, term, weight): the same with the terms themselves."""
+        listed = self.weights(words)
+        names = listed.sparkSession.createDataFrame(pa.table({
+            "term_index": pa.array(range(len(self.vocabulary)), pa.int32()),
+            "term": pa.array(self.vocabulary, pa.string())}))
+        return listed.join(names, "term_index").select("topic", "rank", "term", "weight")
 
     def document_prior(self) -> list[float]:
         """The learned prior weight of each topic."""
@@ -66,8 +74,13 @@ def fit_topics(
 
 
 def lda_topics(docs: DataFrame, by: str = "polarity", classes=("pos", "neg"), **options) -> dict:
-    """A model of its own for each class of documents."""
-    return {c: fit_topics(docs.where(F.col(by) == c), **options) for c in classes}
+    """A model of its own for each class of documents, fitted side by side."""
+    def fit(name: str) -> TopicModel:
+        return fit_topics(docs.where(F.col(by) == name), **options)
+
+    with ThreadPool(len(classes)) as pool:
+        fitted = pool.map(inheritable_thread_target(docs.sparkSession)(fit), classes)
+    return dict(zip(classes, fitted))
 
 
 def topic_words(models: dict, words: int = TOPIC_WORDS) -> DataFrame:
@@ -78,7 +91,7 @@ def topic_words(models: dict, words: int = TOPIC_WORDS) -> DataFrame:
 def topic_summary(models: dict) -> DataFrame:
     """Per topic: its learned document prior, its number of terms and the sum of their weights."""
     def summary(model: TopicModel) -> DataFrame:
-        whole = model.topics()
+        whole = model.weights()
         prior = whole.sparkSession.createDataFrame(
             list(enumerate(model.document_prior())), "topic INT, doc_prior DOUBLE")
         sums = whole.groupBy("topic").agg(

@@ -9,7 +9,7 @@ from plaudit.functions.missing import null_to_na
 from plaudit.operators import numbering, search, summary, words
 from plaudit.plans import bindings as b
 from plaudit.plans.registry import query
-from plaudit.scratch import new_path
+from plaudit.scratch import materialize, new_path
 from plaudit.sinks import csv as csv_sink, review_files as file_sink, terms as term_sink
 from plaudit.sources import csv as csv_source, pages, payloads, review_files, tables
 
@@ -213,7 +213,8 @@ SELECT count(DISTINCT doc_id) AS docs, count(DISTINCT term) AS terms, count(*) A
 FROM doc_terms"""))
 def term_count_header(spark, sf_dir):
     docs = words.tokenize(b.documents(spark, sf_dir), "text")
-    return term_sink.term_count_header(words.term_counts(docs, "doc_id"), "doc_id", "term")
+    stored = materialize(words.term_counts(docs, "doc_id"), "term-counts")
+    return term_sink.term_count_header(stored, "doc_id", "term")
 
 
 @query("sink_dictionary", b.with_views(DOC_TERMS, DICTIONARY, body="SELECT * FROM dictionary"))

@@ -59,7 +59,9 @@ SELECT term FROM doc_terms WHERE term IN ({sql_list(stopwords.TOOLKIT)})
 UNION SELECT term FROM doc_terms WHERE term IN ({sql_list(stopwords.PLAIN)})"""))
 def union_stop_words(spark, sf_dir):
     """The stop words that the documents use, from either list."""
-    used = _tokens(spark, sf_dir).select(F.explode_outer("tokens").alias("term"))
+    found = _tokens(spark, sf_dir).select(F.explode_outer("tokens").alias("term"))
+    used = materialize(found.where(
+        stopwords.is_stop_word(F.col("term"), stopwords.merged())).distinct(), "stop-words-used")
     first = used.where(stopwords.is_stop_word(F.col("term"), stopwords.TOOLKIT))
     second = used.where(stopwords.is_stop_word(F.col("term"), stopwords.PLAIN))
     return numbering.union_words(first, second)
@@ -140,9 +142,23 @@ def topic_models(spark, sf_dir, **options):
         materialize(_review_tokens(spark, sf_dir), "review-tokens"), **options)
 
 
-@query("lda_topics")
+@query("lda_topics", b.with_views(b.V_REVIEWS, POLARITY, f"""
+words AS (
+  SELECT DISTINCT polarity, unnest(regexp_extract_all(lower(review), '[\\p{{L}}\\p{{N}}_]+')) AS term
+  FROM polar)""", f"""
+vocabulary AS (
+  SELECT DISTINCT term FROM words WHERE term NOT IN ({sql_list(stopwords.merged())}))""", STEMS, """
+sizes AS (
+  SELECT polarity, count(DISTINCT stem) AS n_terms FROM words JOIN stems USING (term)
+  GROUP BY polarity)""", body="""
+SELECT polarity, CAST(topic AS INTEGER) AS topic, n_terms, CAST(1 AS DOUBLE) AS total_weight,
+       true AS valid
+FROM sizes, (SELECT unnest(range(5)) AS topic)"""))
 def lda_topics(spark, sf_dir):
-    return topics.topic_summary(topic_models(spark, sf_dir))
+    """What holds for every right model: 5 topics per class, each a distribution over all stems."""
+    return topics.topic_summary(topic_models(spark, sf_dir)).select(
+        "polarity", "topic", "n_terms", "total_weight",
+        ((F.col("min_weight") >= 0) & (F.col("doc_prior") > 0)).alias("valid"))
 
 
 @query("topic_words")

@@ -36,6 +36,10 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[na_to_null(c).alias(c) for c in schemas.PRODUCT.names])
 
 
+def read_brand_urls(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv_drop_malformed(spark, path, schemas.BRAND_URL)
+
+
 def read_csv_infer(spark: SparkSession, path: str) -> DataFrame:
     """Read with types inferred from the data; costs one more pass over the file."""
     return spark.read.options(**READING).option("inferSchema", True).csv(path)

@@ -50,7 +50,7 @@ def _plain(rows):
 
 
 SPARK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
-               "timestamp": "TIMESTAMP", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP"}
+               "timestamp": "TIMESTAMP", "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP"}
 
 
 def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
