@@ -74,6 +74,12 @@ def rating_to_int(df: DataFrame, column: str = "rating", out: str = "rating_int"
     return df.withColumn(out, F.col(column).try_cast("int"))
 
 
+def reject_count(df: DataFrame, column: str = "rating", parsed: str = "rating_int") -> DataFrame:
+    """One row: values that are there, and those of them that did not parse."""
+    return df.agg(F.count(column).alias("n_values"),
+                  F.count_if(F.col(column).isNotNull() & F.col(parsed).isNull()).alias("n_rejected"))
+
+
 def scatter_points(result: DataFrame) -> DataFrame:
     """The rows behind a scatter chart of ratings by brand."""
     return result.select("Brand_name", "rating", "review")

@@ -8,6 +8,8 @@ from plaudit.operators import joins, search, summary, words
 from plaudit.plans import bindings as b
 from plaudit.plans.files import DOC_TERMS, review_payloads
 from plaudit.plans.registry import query
+from plaudit.scratch import new_path
+from plaudit.sinks.tables import write_table
 from plaudit.sources import payloads
 
 KEY = "of the"
@@ -32,6 +34,17 @@ def keyword_facet_search(spark, sf_dir):
     return search.search(b.reviews(spark, sf_dir), b.products(spark, sf_dir), KEY, b.DOMAINS, age="en")
 
 
+@query("joined_table_search", b.with_views(b.V_REVIEWS, b.V_PRODUCTS, body=f"""
+SELECT * FROM v_products JOIN v_reviews ON ID = productID
+WHERE regexp_matches(review, '{KEY}') AND age = 'en' AND skinType = 'Oily'"""))
+def joined_table_search(spark, sf_dir):
+    """The search on a stored join, laid out by the facet that is asked for most."""
+    path = new_path(spark, "joined")
+    write_table(joins.join_product_review(b.products(spark, sf_dir), b.reviews(spark, sf_dir)), path, "age")
+    return search.search_reviews(
+        spark.read.parquet(path), KEY, b.DOMAINS, age="en", skinType="Oily")
+
+
 @query("polarity_sample", b.with_views(b.V_REVIEWS, b.V_PRODUCTS, body="""
 SELECT rating, review FROM v_products JOIN v_reviews ON ID = productID
 WHERE Product_name = 'product src3' AND (rating = '5' OR rating = '1')"""))

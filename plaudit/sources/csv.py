@@ -6,7 +6,7 @@ and query that. All columns are parsed at ingest: which rows count as malformed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from plaudit import schemas
 from plaudit.functions.missing import na_to_null
@@ -49,9 +49,3 @@ def read_polarity_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A two-column sheet: its first row is a header, whatever it says, and is dropped."""
     return (spark.read.schema(schemas.POLARITY_SAMPLE).options(**READING)
             .option("enforceSchema", True).csv(path))
-
-
-def reject_count(df: DataFrame, column: str, parsed: str) -> DataFrame:
-    """One row: values seen and values that were there but did not parse."""
-    return df.agg(F.count(column).alias("n_values"),
-                  F.count_if(F.col(column).isNotNull() & F.col(parsed).isNull()).alias("n_rejected"))

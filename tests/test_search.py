@@ -2,6 +2,7 @@ import pytest
 from conftest import plan_of
 
 from plaudit.operators import joins, report, search, summary
+from plaudit.sinks.tables import write_table
 
 
 def ids(df):
@@ -58,6 +59,8 @@ def test_polarity(reviews, products):
 def test_rating_and_missing(reviews):
     rated = {r.fileIndex: r.rating_int for r in search.rating_to_int(reviews).collect()}
     assert rated[2] is None and rated[3] == 3
+    counts = search.reject_count(search.rating_to_int(reviews)).collect()[0]
+    assert (counts.n_values, counts.n_rejected) == (7, 1)
     nulls = {r.fileIndex: r.userNickname for r in
              search.missing_to_null(reviews, "userNickname").collect()}
     assert nulls[6] is None and nulls[0] == "ann"
@@ -115,3 +118,13 @@ def test_report_holds_every_chart_table(reviews, products):
     assert [(r.q1, r.q3, r.n_outside) for r in tables["rating_box"].collect()] == [(5.0, 5.0, 0)]
     assert tables["rating_density"].count() == 0
     assert tables["points"].count() == 2
+
+
+def test_joined_table_is_pruned_by_facet(spark, reviews, products, tmp_path):
+    path = str(tmp_path / "joined")
+    write_table(joins.join_product_review(products, reviews), path, "age")
+    stored = spark.read.parquet(path)
+    found = search.search_reviews(stored, "dark circle", age="35-44")
+    assert ids(found) == [0, 6]
+    assert "PartitionFilters: [isnotnull(age" in plan_of(found)
+    assert summary.count_by_age(summary.tally(stored, "age")).count() == 4

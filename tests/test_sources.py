@@ -48,12 +48,6 @@ def test_sheet_header_is_replaced(spark, tmp_path):
     assert [(r.rating, r.review) for r in rows] == [("5", "good"), ("1", "bad")]
 
 
-def test_reject_count(spark, reviews):
-    from plaudit.operators.search import rating_to_int
-    counts = csv_source.reject_count(rating_to_int(reviews), "rating", "rating_int").collect()[0]
-    assert (counts.n_values, counts.n_rejected) == (7, 1)
-
-
 def _review_text(*fields):
     return "\t".join(fields)
 
