@@ -22,6 +22,8 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Long texts: keep the Arrow batches of the stemmer small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.sql.session.timeZone": "UTC",
     }
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from conftest import plan_of
 from hypothesis import given, settings, strategies as st
@@ -8,6 +9,7 @@ from hypothesis import given, settings, strategies as st
 from plaudit.functions import stopwords, tokens as tok
 from plaudit.functions.stem import stem, stem_tokens, stem_word
 from plaudit.operators import words
+from plaudit.plans import stem_sql
 
 # Word pairs of the published sample vocabulary.
 PAIRS = """
@@ -131,3 +133,25 @@ def test_review_tokens_need_no_shuffle(spark):
     assert "Exchange" not in plan_of(tokens)
     assert {r.fileIndex: (r.polarity, r.tokens) for r in tokens.collect()} == {
         1: ("pos", ["poni", "run"]), 2: ("neg", ["sky"])}
+
+
+def test_stemmer_agrees_with_its_sql_on_made_up_words():
+    """Two separate statements of the algorithm, on words made of every suffix it knows."""
+    rng = random.Random(11)
+    endings = [s for group in (stem_sql.STEP_2, stem_sql.STEP_3, stem_sql.STEP_4) for s, _ in group]
+    endings += ["ogi", "li", "ative", "ion", "sses", "ied", "ies", "us", "ss", "s", "eed", "eedly", "ed",
+                "edly", "ing", "ingly", "at", "bl", "iz", "e", "ll", "y", ""]
+    starts = ["gener", "commun", "arsen", "y", "inn", "proc", "exc", ""]
+    made = set()
+    while len(made) < 20000:
+        body = "".join(rng.choice("aeiouybdglnstwxéz") for _ in range(rng.randrange(5)))
+        word = rng.choice(starts) + body + rng.choice(endings) + rng.choice(endings)
+        if word:
+            made.add(word)
+    made |= {"skis", "dying", "idly", "only", "news", "innings", "herring", "proceed", "succeeds"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE vocabulary (term VARCHAR)")
+    con.executemany("INSERT INTO vocabulary VALUES (?)", [(w,) for w in sorted(made)])
+    expected = dict(con.execute(f"WITH {stem_sql.STEMS} SELECT term, stem FROM stems").fetchall())
+    assert len(expected) == len(made)
+    assert [(w, stem_word(w), s) for w, s in expected.items() if stem_word(w) != s] == []
