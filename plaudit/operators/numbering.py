@@ -11,6 +11,9 @@ from plaudit.scratch import materialize
 # Files of one directory that are numbered by one task.
 BLOCK_BITS = 16
 
+# Rows with texts that one task should write.
+TASK_ROWS = 500_000
+
 
 def running_total(df: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over all rows before this one, in a total ``order``, as column ``out``.
@@ -64,6 +67,23 @@ def group_number(index: str, size: int) -> Column:
     return F.floor(F.col(index) / F.lit(size)) + 1
 
 
+def place_in_groups(
+    df: DataFrame, index: str, size: int, out: str, last_index: int | None = None,
+) -> DataFrame:
+    """Numbered rows shuffled so that each group of ``size`` is whole and sorted in one task.
+
+    The number of tasks follows the number of rows, not the session's shuffle partitions: at most
+    one per group, and otherwise enough for all cores and for ``TASK_ROWS`` rows each. The largest
+    index tells how many rows there are; it is looked up, from that one column, if it is not given.
+    """
+    if last_index is None:
+        last_index = df.agg(F.max(index)).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(int(last_index) // size + 1, max(cores, int(last_index) // TASK_ROWS + 1))
+    placed = df.withColumn(out, group_number(index, size))
+    return placed.repartition(tasks, out).sortWithinPartitions(out, index)
+
+
 def assign_output_part(df: DataFrame, index: str, part_rows: int, dir_rows: int) -> DataFrame:
     """Output part and directory number of each numbered review."""
     return df.withColumns({"part": group_number(index, part_rows),

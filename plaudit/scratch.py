@@ -11,10 +11,10 @@ _local_bases: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only on an unconfigured local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder; a temporary one only on a local master that has none."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = _local_bases.setdefault(context.applicationId, "")

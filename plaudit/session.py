@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# A join side that Spark estimates below this is broadcast, rather than shuffling whole texts.
+BROADCAST_BYTES = 128 * 1024 * 1024
+
 # Bytes of shuffled data that one task should get.
 TASK_BYTES = 128 * 1024 * 1024
 
@@ -17,6 +20,7 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
     partitions = max(cores, -(-shuffle_bytes // TASK_BYTES))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),

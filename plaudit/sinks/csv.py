@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from plaudit.operators.numbering import group_number
+from plaudit.operators.numbering import place_in_groups
 from plaudit.sources.csv import QUOTING
 
 WRITING = {**QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -35,10 +35,9 @@ def write_csv_rollover(
 ) -> None:
     """Headed parts ``part=1``, ``part=2`` ... of ``part_rows`` consecutive rows each.
 
-    Rows go to their part by a hash of its number, and a part is bounded, so is every task.
+    Every part is one file, written by one task, and bounded.
     """
-    (df.withColumn("part", group_number(index, part_rows))
-     .repartition("part").sortWithinPartitions("part", index)
+    (place_in_groups(df, index, part_rows, "part")
      .write.options(**WRITING).option("header", True).partitionBy("part").csv(path))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit import schemas
 from plaudit.functions.missing import null_to_na
-from plaudit.operators.numbering import group_number
+from plaudit.operators.numbering import place_in_groups
 from plaudit.sources.review_files import RECORD_END
 
 # Fixed value: reviews per folder of the harvest.
@@ -29,8 +29,7 @@ def write_review_text_dirs(
     line = review_line()
     whole = F.when(F.contains(line, F.lit(RECORD_END)),
                    F.raise_error(F.lit("review holds the record separator"))).otherwise(line)
-    (df.select(whole.alias("value"), index, group_number(index, dir_reviews).alias("dir"))
-     .repartition("dir").sortWithinPartitions("dir", index).drop(index)
+    (place_in_groups(df, index, dir_reviews, "dir").select(whole.alias("value"), "dir")
      .write.option("lineSep", RECORD_END).partitionBy("dir").text(path))
 
 

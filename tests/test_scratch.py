@@ -11,7 +11,8 @@ class Conf(dict):
 class FakeSession:
     def __init__(self, master, **conf):
         self.conf = Conf(conf)
-        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.sparkContext = type("C", (), {
+            "master": master, "applicationId": f"app-{master}", "getCheckpointDir": lambda self: None})()
 
 
 def test_the_cluster_names_the_folder():
