@@ -155,3 +155,29 @@ def test_stemmer_agrees_with_its_sql_on_made_up_words():
     expected = dict(con.execute(f"WITH {stem_sql.STEMS} SELECT term, stem FROM stems").fetchall())
     assert len(expected) == len(made)
     assert [(w, stem_word(w), s) for w, s in expected.items() if stem_word(w) != s] == []
+
+
+def test_bag_of_words_with_a_hot_term_is_split_and_whole(spark):
+    """A term of every document, and a dictionary that is not broadcast."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        docs = spark.range(0, 30000, 1, 8).selectExpr(
+            "id AS d", "array('hot', concat('w', id % 3000)) AS tokens")
+        bag, terms = words.bag_of_words(docs, "d")
+        rows = bag.collect()
+        assert len(rows) == 60000 and terms.count() == 3001
+        assert "SortMergeJoin(skew=true)" in plan_of(bag)
+        ids = {r.term: r.term_id for r in rows}
+        assert ids["hot"] == 0 and ids["w0"] == 1 and ids["w2999"] == 3000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
