@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plaudit import schemas
-from plaudit.functions.missing import null_to_na
 from plaudit.operators import numbering, search, summary, words
 from plaudit.plans import bindings as b
 from plaudit.plans.registry import query
@@ -24,8 +23,9 @@ NA_FIELDS = """
 def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound reviews with every field of the schema; absent ones are null."""
     rows = b.reviews(spark, sf_dir, spread=True)
+    absent = F.lit(None).cast("string")
     return rows.select("fileIndex", *[
-        F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in schemas.REVIEW_FIELDS])
+        F.col(c) if c in rows.columns else absent.alias(c) for c in schemas.REVIEW_FIELDS])
 
 
 def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,15 @@ def read_csv_drop_malformed(spark: SparkSession, path: str, schema: T.StructType
             .option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path))
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Reviews with ``NA`` turned into null."""
-    rows = read_csv_drop_malformed(spark, path, schemas.REVIEW)
-    return rows.select("fileIndex", *[na_to_null(c).alias(c) for c in schemas.REVIEW_FIELDS])
+def read_reviews(spark: SparkSession, path: str, row_label: str | None = None) -> DataFrame:
+    """Reviews with ``NA`` turned into null.
+
+    ``row_label`` names an extra first column, as a table tool leaves it in front of the fields.
+    """
+    label = [] if row_label is None else [T.StructField(row_label, T.LongType())]
+    rows = read_csv_drop_malformed(spark, path, T.StructType([*label, *schemas.REVIEW]))
+    return rows.select(*[f.name for f in label], "fileIndex",
+                       *[na_to_null(c).alias(c) for c in schemas.REVIEW_FIELDS])
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:

@@ -69,7 +69,8 @@ def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str
         problems.append(f"{len(actual)} rows != {len(expected)}")
     wrong = [(a, e) for a, e in zip(actual, expected) if a != e]
     if wrong:
-        problems.append(f"{len(wrong)} rows differ, first {str(wrong[0][0])[:300]} != {str(wrong[0][1])[:300]}")
+        first = " != ".join(str(row)[:300] for row in wrong[0])
+        problems.append(f"{len(wrong)} rows differ, first {first}")
     return problems
 
 

@@ -25,6 +25,15 @@ def test_csv_from_another_writer(spark, tmp_path):
     assert row.review == 'She said "x",\nthen ü' and row.age is None and row.fileIndex == 7
 
 
+def test_csv_with_row_labels_in_front(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text(",fileIndex," + ",".join(schemas.REVIEW_FIELDS) + "\n"
+                    "0,3,P1,ann,5,NA,,NA,NA,Dry,fine\n2,4,P1,too,few\n")
+    rows = csv_source.read_reviews(spark, str(path), "_c0").collect()
+    assert [(r["_c0"], r.fileIndex, r.age, r.eyeColor, r.review) for r in rows] == [
+        (0, 3, None, None, "fine")]
+
+
 def test_malformed_rows_do_not_depend_on_the_columns_read(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text("ID,Product_name,Brand_id,Brand_name\nP1,Glow,1,Alpha\nP2,short\n"
@@ -96,7 +105,7 @@ def test_review_payload_edges(spark):
 
 def test_review_payload_pages(spark):
     page = [_result(f"u{i}") for i in range(100)]
-    rows = [("P", 0, _payload(150, *page)), ("P", 100, _payload(150, *page)), ("P", 200, _payload(150, *page))]
+    rows = [("P", offset, _payload(150, *page)) for offset in (0, 100, 200)]
     df = spark.createDataFrame(rows, "productID STRING, offset INT, payload STRING")
     assert payloads.flatten_review_payload(df, offset="offset").count() == 150
 
