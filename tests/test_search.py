@@ -2,7 +2,9 @@ import pytest
 from conftest import plan_of
 
 from plaudit.operators import joins, report, search, summary
+from plaudit.sinks.csv import write_review_csv
 from plaudit.sinks.tables import write_table
+from plaudit.sources.csv import read_csv_infer
 
 
 def ids(df):
@@ -128,3 +130,16 @@ def test_joined_table_is_pruned_by_facet(spark, reviews, products, tmp_path):
     assert ids(found) == [0, 6]
     assert "PartitionFilters: [isnotnull(age" in plan_of(found)
     assert summary.count_by_age(summary.tally(stored, "age")).count() == 4
+
+
+def test_report_from_a_joined_csv_with_inferred_types(spark, reviews, products, tmp_path):
+    path = str(tmp_path / "joined")
+    write_review_csv(joins.join_product_review(products, reviews), path)
+    stored = read_csv_infer(spark, path)
+    found = search.rating_to_int(search.search_reviews(stored, "dark circle", age="35-44"), out="rating")
+    tables = report.joined_report(found)
+    expected = report.search_report(reviews, products, "dark circle", age="35-44")
+    for name, table in tables.items():
+        assert table.columns == expected[name].columns
+        got = sorted(tuple(map(str, r)) for r in table.collect())
+        assert got == sorted(tuple(map(str, r)) for r in expected[name].collect())
