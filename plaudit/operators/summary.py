@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plaudit.functions import tokens as tok
 from plaudit.operators.numbering import top_k
@@ -102,20 +102,20 @@ def top_products(tallied: DataFrame, k: int = 20) -> DataFrame:
 
 
 def rating_histogram(tallied: DataFrame) -> DataFrame:
-    """Count of each integer rating per brand; missing brands are left out, as are bad ratings."""
+    """Count of each integer rating per brand, without missing brands.
+
+    A rating that is no integer is counted under null: it is a review, but has no value.
+    """
     rating = F.col("rating").try_cast("int").alias("rating")
     return (tallied.where(F.col(BRAND).isNotNull()).groupBy(BRAND, rating)
             .agg(F.sum("n_rows").alias("n_rated"), F.sum("n_index").alias("n")))
 
 
-def _median(rating: str = "rating", weight: str = "n_rated") -> Column:
-    return F.percentile(rating, 0.5, F.col(weight))
-
-
 def brand_median_rating(histogram: DataFrame, min_reviews: int = 0) -> DataFrame:
     """Median rating and review count of brands with more than ``min_reviews`` reviews."""
     return (histogram.groupBy(BRAND)
-            .agg(_median().alias("median_rating"), F.sum("n").alias("n"))
+            .agg(F.percentile("rating", 0.5, F.col("n_rated")).alias("median_rating"),
+                 F.sum("n").alias("n"))
             .where(F.col("n") > min_reviews)
             .orderBy(F.desc("median_rating"), BRAND))
 
