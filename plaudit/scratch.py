@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_bases: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a local master that has none."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = _local_bases.setdefault(context.applicationId, "")
-        if not base:
-            base = tempfile.mkdtemp(prefix="plaudit-")
-            _local_bases[context.applicationId] = base
+    """``spark.checkpoint.dir``, else the context's checkpoint folder, else one in the warehouse folder."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.sql.warehouse.dir"))
     return base.rstrip("/") + "/plaudit"
 
 
@@ -29,12 +21,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` to a path that is new and return the stored table."""
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once and return the stored table.
 
     A lost executor costs nothing that is already written, and later joins are planned on the
     table's real size, so Spark broadcasts it when it is small and shuffles it when it is not.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df, new_path(df.sparkSession, label), *partition_by)
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that no result reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder for stored tables that is deleted at the end of the block, also after an error."""
+    path = new_path(spark, label)
+    try:
+        yield path
+    finally:
+        release(spark, path)

@@ -21,11 +21,17 @@ def test_the_cluster_names_the_folder():
     assert scratch.new_path(fake, "x") != scratch.new_path(fake, "x")
 
 
-def test_no_local_folder_on_a_cluster():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(FakeSession("yarn"))
-    local = FakeSession("local[2]")
-    assert scratch.scratch_dir(local) == scratch.scratch_dir(local)
+def test_without_a_checkpoint_folder_the_warehouse_is_used_on_any_master():
+    for master in ("yarn", "local[2]"):
+        fake = FakeSession(master, **{"spark.sql.warehouse.dir": "hdfs://shared/warehouse"})
+        assert scratch.scratch_dir(fake) == "hdfs://shared/warehouse/plaudit"
+
+
+def test_scratch_folder_is_gone_after_the_block(spark):
+    with scratch.scratch(spark, "gone") as path:
+        assert scratch.store(spark.range(3), f"{path}/a").count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/a")
 
 
 def test_materialize_keeps_rows_and_schema_even_when_empty(spark):
