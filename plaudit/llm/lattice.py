@@ -24,6 +24,9 @@ PASSES = 2
 # frequent words, whatever the corpus: their scores are broadcast. All others are joined.
 HEAD = 200_000
 
+# Share of the training rows from which a language is a class of its own.
+CLASS_SHARE = 0.05
+
 # The token that ends a text. White space cannot be part of a word.
 END = b"\n"
 
@@ -60,7 +63,7 @@ class Pieces:
         total = smooth.sum() + words
         return Pieces(self.keys, self.ids, np.log(smooth / total), math.log(max(words, 1e-9) / total))
 
-    def _found(self, words: np.ndarray) -> np.ndarray:
+    def found(self, words: np.ndarray) -> np.ndarray:
         """Piece id, or -1, at [n - 1, word, start] for words of one length, one row of bytes each."""
         count, length = words.shape
         padded = np.zeros((count, length + len(self.keys)), np.uint64)
@@ -79,7 +82,7 @@ class Pieces:
 
     def forward(self, words: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log-space forward recursion over all words of one length: alpha at every byte, and arc scores."""
-        found = self._found(words) if found is None else found
+        found = self.found(words) if found is None else found
         count, length = words.shape
         arcs = np.where(found >= 0, self.scores[found], -np.inf)
         alpha = np.full((length + 1, count), -np.inf)
@@ -95,7 +98,7 @@ class Pieces:
 
     def expected(self, words: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece over the words, by the forward and backward sums."""
-        found = self._found(words)
+        found = self.found(words)
         alpha, arcs = self.forward(words, found)
         count, length = words.shape
         beta = np.full((length + 1, count), -np.inf)
@@ -125,62 +128,89 @@ def by_length(words: list[bytes], rows: int = 8192, cells: int = 1 << 18) -> Ite
             yield places, block.reshape(len(places), length).astype(np.uint64)
 
 
-def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """(word, n): training tokens of each distinct word of all texts; 0 for words met elsewhere only."""
-    rows = docs.select(F.col(text).alias("text"), F.col(train).alias("train"))
+def text_classes(docs: DataFrame, by: str, share: float = CLASS_SHARE) -> tuple[dict, np.ndarray]:
+    """Class number of each value of ``by`` with at least ``share`` of the rows, and the classes' shares.
+
+    Class 0 takes all other values and null; there are at most 1 / share other classes.
+    """
+    sizes = docs.groupBy(F.col(by).cast("string").alias("by")).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sizes.where(F.col("by").isNotNull() & (F.col("n") >= share * total)).orderBy("by").collect() if total else []
+    numbers = {row["by"]: i for i, row in enumerate(large, 1)}
+    met = np.array([total - sum(r["n"] for r in large), *[r["n"] for r in large]], float) + 0.5
+    return numbers, met / met.sum()
+
+
+def word_counts(docs: DataFrame, text: str, group: str, groups: int) -> DataFrame:
+    """(word, n): training tokens of each distinct word of all texts, one number for each class.
+
+    ``group`` is the class of a training row and null for others, whose words count nothing.
+    """
+    rows = docs.select(F.col(text).alias("text"), F.col(group).alias("group"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: list[Counter] = [Counter() for _ in range(groups + 1)]
         for batch in batches:
-            for value, train in zip(texts(batch), batch.column("train").to_pylist()):
+            for value, group in zip(texts(batch), batch.column("group").to_pylist()):
                 words = split_words(value.lower())
-                if train:
-                    counts.update(words)
-                    counts[END] += 1
+                if group is None:
+                    counts[groups].update(words)
                 else:
-                    for word in words:
-                        counts[word] += 0
-                if len(counts) > 400_000:
+                    counts[group].update(words)
+                    counts[group][END] += 1
+                if sum(map(len, counts)) > 400_000:
                     yield flush(counts)
         yield flush(counts)
 
-    def flush(counts: Counter) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
+    def flush(counts: list[Counter]) -> pa.RecordBatch:
+        words = [word for counter in counts for word in counter]
+        number = np.repeat(np.arange(groups + 1, dtype=np.int32), [len(c) for c in counts])
+        n = np.array([n for counter in counts for n in counter.values()], np.int64)
+        for counter in counts:
+            counter.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(number), pa.array(n)], ["word", "group", "n"])
 
-    return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    met = rows.mapInArrow(run, "word binary, group int, n long")
+    return met.groupBy("word").agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("group") == k, F.col("n"))), F.lit(0)) for k in range(groups)]).alias("n"))
 
 
-def fit_pieces(counts: DataFrame, pieces: Pieces, passes: int = PASSES) -> Pieces:
-    """Fit the scores to the distinct training words: each pass is one job over all of them.
+def fit_pieces(counts: DataFrame, pieces: list[Pieces], passes: int = PASSES) -> list[Pieces]:
+    """Fit the scores of each class to its distinct training words: each pass is one job over all of them.
 
     Every distinct word counts once, as the pieces stand for words that are rare or new. What
-    reaches the driver is one number for each piece of the vocabulary.
+    reaches the driver is one number for each class and piece of the vocabulary.
     """
-    words = counts.where((F.col("n") > 0) & (F.col("word") != F.lit(END))).select("word")
+    words = counts.where(F.col("word") != F.lit(END))
+    size = len(pieces[0].scores) + 1
     for _ in range(passes):
         shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            totals, count = np.zeros(len(model.scores) + 1), 0
+            totals = np.zeros((len(shared.value), size))
             for batch in batches:
-                held = batch.column("word").to_pylist()
-                count += len(held)
-                for _, block in by_length(held):
-                    totals[:-1] += model.expected(block)
-            totals[-1] = count
-            used = np.nonzero(totals)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(totals[used])], ["piece", "uses"])
-
-        found = words.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-        totals = np.zeros(len(pieces.scores) + 1)
-        totals[found["piece"].to_numpy(int)] = found["uses"].to_numpy(float)
-        pieces = pieces.with_counts(totals[:-1], totals[-1])
+                held, n = batch.column("word").to_pylist(), _matrix(batch.column("n"), np.int64)
+                for group, model in enumerate(shared.value):
+                    own = [held[i] for i in np.nonzero(n[:, group])[0]]
+                    totals[group, -1] += len(own)
+                    for _, block in by_length(own):
+                        totals[group, :-1] += model.expected(block)
+            group, piece = np.nonzero(totals)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group, pa.int64()), pa.array(piece, pa.int64()), pa.array(totals[group, piece])], ["group", "piece", "uses"])
+
+        found = words.mapInArrow(run, "group long, piece long, uses double").groupBy("group", "piece").agg(
+            F.sum("uses").alias("uses")).toPandas()
+        totals = np.zeros((len(pieces), size))
+        totals[found["group"].to_numpy(int), found["piece"].to_numpy(int)] = found["uses"].to_numpy(float)
+        pieces = [p.with_counts(t[:-1], t[-1]) for p, t in zip(pieces, totals)]
     return pieces
 
 
+def _matrix(column: pa.ListArray, kind) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+
+
 @dataclass
 class Totals:
     """Training tokens, distinct ones, and how many were met once and twice."""
@@ -201,34 +231,43 @@ class Totals:
         return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
-def token_scores(words: list[bytes], n: np.ndarray, pieces: Pieces, totals: Totals) -> np.ndarray:
-    """log10 chance of each token: the arc of the whole word, if it was met, plus all segmentations."""
-    logs = np.full(len(words), -np.inf)
-    subword = [i for i, word in enumerate(words) if word != END]
+def token_scores(words: list[bytes], n: np.ndarray, pieces: list[Pieces], totals: list[Totals], whole: Totals) -> np.ndarray:
+    """log10 chance of each token in each class, [token, class].
+
+    The arc of the whole word as met in the class, then as met anywhere, each discounted, plus
+    what the discounts left times the sum over all segmentations into pieces of the class.
+    """
+    end = np.fromiter((word == END for word in words), bool, len(words))
+    subword = np.nonzero(~end)[0]
+    logs = np.full((len(words), len(pieces)), math.log(BLANK_END))
     for places, block in by_length([words[i] for i in subword]):
-        logs[np.array(subword)[places]] = pieces.marginal(block)
-    logs += math.log1p(-BLANK_END)
-    logs[[i for i, word in enumerate(words) if word == END]] = math.log(BLANK_END)
-    whole = np.maximum(n - totals.discount, 0) / max(1, totals.tokens)
+        found = pieces[0].found(block)
+        for k, model in enumerate(pieces):
+            logs[subword[places], k] = model.forward(block, found)[0][-1] + model.stop + math.log1p(-BLANK_END)
+    met = np.maximum(n.sum(axis=1) - whole.discount, 0)[:, None] / max(1, whole.tokens)
+    own = np.maximum(n - np.array([t.discount for t in totals]), 0) / np.array([max(1, t.tokens) for t in totals])
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(whole), logs + math.log(totals.rest())) / math.log(10)
+        anywhere = np.logaddexp(np.log(met), logs + math.log(whole.rest()))
+        return np.logaddexp(np.log(own), anywhere + np.log([t.rest() for t in totals])) / math.log(10)
 
 
-def score_words(counts: DataFrame, pieces: Pieces, totals: Totals) -> DataFrame:
-    """(word, n, base, score) of every distinct word."""
+def score_words(counts: DataFrame, pieces: list[Pieces], totals: list[Totals], whole: Totals) -> DataFrame:
+    """(word, n, base, score) of every distinct word: training tokens, and the scores in each class."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            found = token_scores(batch.column("word").to_pylist(), n, shared.value, totals)
+            n = _matrix(batch.column("n"), np.int64)
+            found = token_scores(batch.column("word").to_pylist(), n, shared.value, totals, whole).astype(np.float32)
+            offsets = pa.array(np.arange(0, found.size + 1, found.shape[1] or 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(totals.base(n)), pa.array(found)], ["word", "n", "base", "score"])
+                [batch.column("word"), pa.array(n.sum(axis=1)), pa.array(whole.base(n.sum(axis=1))),
+                 pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["word", "n", "base", "score"])
 
-    return counts.select("word", "n").mapInArrow(run, "word binary, n long, base double, score double")
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, base double, score array<float>")
 
 
-def _document_rows(docs: DataFrame, head: dict, kind: str) -> DataFrame:
+def _document_rows(docs: DataFrame, head: tuple[dict, np.ndarray], kind: str) -> DataFrame:
     """(row, word, uses, ...): one row of what the frequent words give, and one for each rare word.
 
     The first has a word that no text can hold, a space and the row number, so it meets no score
@@ -237,27 +276,26 @@ def _document_rows(docs: DataFrame, head: dict, kind: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent, table = shared.value
         for batch in batches:
             row, word, uses, base, score, known, count, keys = [], [], [], [], [], [], [], []
             for r, key, value in zip(batch.column("row").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
                 tokens = split_words(value.lower())
-                sums = [0.0, 0.0, 0]
-                rare = []
-                for token, times in [*Counter(tokens).items(), (END, 1)]:
-                    got = frequent.get(token)
-                    if got is None:
-                        rare.append((token, times))
+                rare, met, times = [], [], []
+                for token, n in [*Counter(tokens).items(), (END, 1)]:
+                    place = frequent.get(token)
+                    if place is None:
+                        rare.append((token, n))
                     else:
-                        sums[0] += times * got[0]
-                        sums[1] += times * got[1]
-                        sums[2] += times * got[2]
+                        met.append(place)
+                        times.append(n)
+                sums = np.array(times, float) @ table[met] if met else np.zeros(table.shape[1])
                 row += [r] * (len(rare) + 1)
                 word.append(b" %d" % r)
                 word += [w for w, _ in rare]
                 uses.append(0)
                 uses += [u for _, u in rare]
-                for column, first in ((base, sums[0]), (score, sums[1]), (known, sums[2]), (count, len(tokens) + 1), (keys, key)):
+                for column, first in ((base, sums[0]), (score, sums[1:].tolist()), (known, sum(times)), (count, len(tokens) + 1), (keys, key)):
                     column.append(first)
                     column += [None] * len(rare)
                 if len(row) > 200_000:
@@ -269,51 +307,66 @@ def _document_rows(docs: DataFrame, head: dict, kind: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(uses, pa.int32()),
              pa.StructArray.from_arrays(
-                 [pa.array(c, t) for c, t in zip(rest, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), key_type))],
+                 [pa.array(c, t) for c, t in zip(rest, (pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), key_type))],
                  ["base", "score", "known", "count", "key"],
                  mask=pa.array([c is None for c in rest[3]]))], ["row", "word", "uses", "own"])
 
     plain = docs.select(F.monotonically_increasing_id().alias("row"), "key", "text")
     key_type = pa.string() if kind == "string" else pa.int64()
-    return plain.mapInArrow(run, f"row long, word binary, uses int, own struct<base:double,score:double,known:long,count:long,key:{kind}>")
+    return plain.mapInArrow(run, f"row long, word binary, uses int, own struct<base:double,score:array<double>,known:long,count:long,key:{kind}>")
 
 
-def score_texts(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text",
+def score_texts(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", by: str = "lang",
                 divisor: int = 5, held: int = 1, head: int = HEAD, passes: int = PASSES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
-    Tokens are the lower-cased words of a text and one end. A token's chance is that of its whole
-    word, discounted, as met in training, plus what the discount left times the sum over all
-    segmentations of the word into pieces of the vocabulary ``ranks``, whose scores were fitted to
-    the training words. Chances of all tokens add up to one. Learned from the rows whose crc32 of
-    the key modulo ``divisor`` is not ``held``; a null key counts as the empty text, a null text
-    as empty (one token, the end). Without training rows the chances are those of the unfitted
-    pieces. Repeated rows and keys are scored each on its own.
+    Tokens are the lower-cased words of a text and one end. The chance of a text is the mean over
+    the classes of ``by`` (languages), weighted by their shares of the training rows, of the
+    product of its tokens' chances in the class; the row's own class is not used. A token's chance
+    is that of its whole word, discounted, as met in the class and anywhere in training, plus what
+    the discounts left times the sum over all segmentations of the word into pieces of the
+    vocabulary ``ranks``, whose scores were fitted to the training words of the class. Chances of
+    all tokens of a class add up to one.
+
+    Learned from the rows whose crc32 of the key modulo ``divisor`` is not ``held``; a null key
+    counts as the empty text, a null text as empty (one token, the end). Without training rows the
+    chances are those of the unfitted pieces. Repeated rows and keys are scored each on its own.
     """
     path = new_path(docs.sparkSession, "lattice")
     kind = docs.schema[key].dataType.simpleString()
     kind = kind if kind == "string" else "bigint"
-    plain = docs.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"),
+    plain = docs.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"), F.col(by).cast("string").alias("by"),
                         (remainder(key, divisor) == held).alias("held_out"))
-    counts = store(word_counts(plain.withColumn("train", ~F.col("held_out")), "text", "train"), f"{path}/counts")
-    sums = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    totals = Totals(*[int(v or 0) for v in sums])
-    pieces = fit_pieces(counts, Pieces.existing(ranks), passes if totals.tokens else 0)
-    words = store(score_words(counts, pieces, totals), f"{path}/words")
-    edge = max(1, -(-totals.tokens // head))
-    frequent = {bytes(r["word"]): (r["base"], r["score"], 1) for r in words.where(F.col("n") >= edge).collect()} if totals.tokens else {}
-    rows = _document_rows(plain, frequent, kind)
+    numbers, shares = text_classes(plain.where("NOT held_out"), "by")
+    groups = len(shares)
+    group = F.lit(0)
+    for value, number in numbers.items():
+        group = F.when(F.col("by") == value, number).otherwise(group)
+    counts = store(word_counts(plain.withColumn("group", F.when(~F.col("held_out"), group)), "text", "group", groups), f"{path}/counts")
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = [total, *[F.get("n", F.lit(k)) for k in range(groups)]]
+    sums = counts.agg(*[part for n in each for part in (
+        F.sum(n), F.count_if(n > 0), F.count_if(n == 1), F.count_if(n == 2))]).first()
+    whole, *totals = [Totals(*[int(v or 0) for v in sums[i:i + 4]]) for i in range(0, 4 * len(each), 4)]
+    pieces = fit_pieces(counts, [Pieces.existing(ranks)] * groups, passes if whole.tokens else 0)
+    words = store(score_words(counts, pieces, totals, whole), f"{path}/words")
+    edge = max(1, -(-whole.tokens // head))
+    frequent = words.where(F.col("n") >= edge).collect() if whole.tokens else []
+    table = np.array([[r["base"], *r["score"]] for r in frequent], float).reshape(-1, groups + 1)
+    rows = _document_rows(plain, ({bytes(r["word"]): i for i, r in enumerate(frequent)}, table), kind)
     rare = words.where(F.col("n") < edge).select("word", (F.col("n") > 0).cast("int").alias("known"), "base", "score")
     joined = rows.join(rare, "word", "left")
     found = joined.groupBy("row").agg(
-        F.max("own").alias("own"), F.sum(F.col("uses") * F.col("known")).alias("known"),
-        F.sum(F.col("uses") * F.col("base")).alias("base"), F.sum(F.col("uses") * F.col("score")).alias("score"))
-
-    def whole(name: str, zero):
-        return F.col(f"own.{name}") + F.coalesce(F.col(name), F.lit(zero))
-
-    return found.select(
+        F.max_by("own", F.col("own").isNotNull()).alias("own"), F.sum(F.col("uses") * F.col("known")).alias("known"),
+        F.sum(F.col("uses") * F.col("base")).alias("base"),
+        *[F.sum(F.col("uses") * F.get("score", F.lit(k)).cast("double")).alias(f"score_{k}") for k in range(groups)])
+    logs = [F.get("own.score", F.lit(k)) + F.coalesce(F.col(f"score_{k}"), F.lit(0.0)) + F.lit(math.log10(shares[k]))
+            for k in range(groups)]
+    top = F.array_max(F.array(*logs))
+    mean = F.aggregate(F.array(*logs), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("top")))
+    return found.withColumn("top", top).select(
         F.col("own.key").alias(key), (remainder("own.key", divisor) == held).alias("held_out"),
-        F.col("own.count").alias("n_tokens"), whole("known", 0).alias("n_known"),
-        F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        whole("base", 0.0).alias("base_score"), whole("score", 0.0).alias("score"))
+        F.col("own.count").alias("n_tokens"), (F.col("own.known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(whole.tokens).cast("long").alias("train_tokens"),
+        (F.col("own.base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("top") + F.log10(mean)).alias("score"))
