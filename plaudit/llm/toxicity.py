@@ -23,10 +23,10 @@ SAMPLE = 20_000
 CUT = 0.7
 
 # A term is a whole word or the start of words, of these many characters.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 
 # Toxic texts that a term needs, and how much likelier it must be in toxic texts than in others.
-MIN_TEXTS, MIN_RATIO = 5, 30.0
+MIN_TEXTS, MIN_RATIO = 5, 10.0
 
 # Letters of other scripts and signs that look like Latin letters, and digits that
 # stand for them. A one may stand for i or l, so these three are one letter.

@@ -1,0 +1,157 @@
+"""Language-model scores, quality rules, rankings and toxicity."""
+from odd_tables import no_docs, odd_docs  # noqa: F401
+import math
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from plaudit.llm import bpe, lattice, ngram_quality, queries, ranking, toxicity
+
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_marginal_is_the_sum_over_all_segmentations():
+    pieces = lattice.Pieces.existing(RANKS)
+    score = {int(k).to_bytes(n, "little"): pieces.scores[i]
+             for n, (keys, ids) in enumerate(zip(pieces.keys, pieces.ids), 1) for k, i in zip(keys, ids)}
+
+    def ways(word):
+        if not word:
+            return 1.0
+        return sum(math.exp(score[word[:n]]) * ways(word[n:]) for n in range(1, len(word) + 1) if word[:n] in score)
+
+    for word in (b"a", b"therationxq", "él".encode()):
+        block = np.frombuffer(word, np.uint8)[None].astype(np.uint64)
+        assert math.isclose(pieces.marginal(block)[0], math.log(ways(word)) + pieces.stop, rel_tol=1e-9)
+
+
+def test_expected_uses_cover_every_byte():
+    pieces = lattice.Pieces.existing(RANKS)
+    block = np.frombuffer(b"nationnation", np.uint8).reshape(2, 6).astype(np.uint64)
+    uses = pieces.expected(block)
+    lengths = np.zeros(len(uses))
+    for n, ids in enumerate(pieces.ids, 1):
+        lengths[ids] = n
+    assert math.isclose((uses * lengths).sum(), 12, rel_tol=1e-9)
+
+
+def test_base_scores_and_counts_agree_with_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    counts, n = {}, 0
+    for row in rows:
+        if zlib.crc32(str(row.doc_id).encode()) % 5 != 1:
+            for token in [*(row.text or "").encode().lower().split(), b"\n"]:
+                counts[token] = counts.get(token, 0) + 1
+                n += 1
+    found = {r.doc_id: r for r in queries.op1_subword_lattice(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for row in rows:
+        tokens = [*(row.text or "").encode().lower().split(), b"\n"]
+        got = found[row.doc_id]
+        base = sum(math.log10((counts.get(t, 0) + 0.5) / (n + 0.5 * (len(counts) + 1))) for t in tokens)
+        assert got.n_tokens == len(tokens) and got.train_tokens == n and got.n_known == sum(t in counts for t in tokens)
+        assert math.isclose(got.base_score, base, rel_tol=1e-9) and -math.inf < got.score < 0
+
+
+def test_chances_of_the_tokens_do_not_add_up_to_more_than_one():
+    pieces = [lattice.Pieces.existing(RANKS)]
+    words = [b"the", b"cat", lattice.END]
+    n = np.array([[5], [1], [3]])
+    totals = lattice.Totals(9, 3, 1, 0)
+    met = 10 ** lattice.token_scores(words, n, pieces, [totals], totals)
+    assert 0.5 < met.sum() < 1
+
+
+def test_lattice_on_odd_and_empty_tables(odd_docs, no_docs):
+    found = lattice.score_texts(odd_docs, RANKS).collect()
+    assert len(found) == odd_docs.count() and all(math.isfinite(r.score) for r in found)
+    assert {r.n_tokens for r in found if r.doc_id in (1, 2, 3)} == {1}
+    assert lattice.score_texts(no_docs, RANKS).count() == 0
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("", (0, 0, 0, 0, 0)), ("a b c d e", (5, 5, 0, 0, 0)), ("a b c d e a b c d e", (10, 10, 0, 0, 10)),
+    ("x a b c d e y a b c d e z", (13, 13, 0, 0, 10)), ("é # é\n\né # é\n é # é", (9, 9, 3, 1, 9)),
+    ("a a a a a a", (6, 6, 0, 0, 6))])
+def test_base_counts(text, expected):
+    assert ngram_quality.base_counts(text.encode()) == expected
+
+
+def test_kneser_ney_chances_of_a_context_add_up_to_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    model = ngram_quality.fit(ngram_quality.count_ngrams(docs).cache())
+    for context in (0, int(model.contexts[3][len(model.contexts[3]) // 2]), 63 << 12):
+        keys = (context << ngram_quality.BITS) | np.arange(64)
+        assert math.isclose(np.exp(model.log_chances(keys)).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_ngram_counts_are_those_of_all_texts(spark):
+    docs = spark.createDataFrame([("ab ab",), ("AB\tab",), (None,)], "text STRING")
+    got = {r.gram: r.n for r in ngram_quality.count_ngrams(docs).collect()}
+    keys = ngram_quality.ngram_keys(b"ab ab")
+    assert got == {int(k): 2 * int((keys == k).sum()) for k in keys}
+
+
+def test_quality_rules_on_odd_and_empty_tables(odd_docs, no_docs):
+    found = ngram_quality.judge(odd_docs).collect()
+    assert len(found) == odd_docs.count()
+    assert all(not r.kept for r in found if r.n_words < 10) and all(r.base_failed is not None for r in found)
+    assert ngram_quality.judge(no_docs).count() == 0
+
+
+def test_ranking_learns_preferences_and_its_threshold():
+    rng = np.random.default_rng(0)
+    rows = np.clip(rng.normal(0.3, 0.05, (400, len(ranking.NAMES))), 0, 1)
+    labels = (rng.random(400) < 0.8).astype(int)
+    rows[labels == 0, 0] += 0.4
+    model = ranking.fit(rows, labels)
+    assert model.weights[0] < 0
+    assert ((model.score(rows) >= ranking.CUT) == (labels == 1)).mean() > 0.99
+    assert np.allclose(ranking.fit(rows[:0], labels[:0]).score(rows), 0.5)
+    assert ranking.fit(rows, np.ones(400, int)).score(rows).min() > ranking.CUT
+
+
+def test_ranking_is_right_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IS NOT NULL")
+    found = queries.op4_pairwise_quality(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in found) >= 0.95 * len(found) > 0
+
+
+def test_ranking_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 1), (9, 0), (None, 1), (5, None), (7, 1)], "doc_id LONG, quality INT")
+    model = ranking.train(odd_docs, labels)
+    found = ranking.score(odd_docs, model).collect()
+    assert len(found) == odd_docs.count() and all(0 <= r.score <= 1 for r in found)
+    assert ranking.keep_good(odd_docs, model).columns == odd_docs.columns
+    assert ranking.score(no_docs, ranking.train(no_docs, labels.limit(0))).count() == 0
+
+
+def test_lexicon_folds_and_spares_exception_phrases():
+    lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 3.0, toxicity.fold("vequ").rstrip(): 2.0},
+                               [toxicity.fold("idiot proof")], 2.0, -3.0)
+    for text in ("an IDIOT here", "an \u0456di\u043et", "1d10t!", "vequm"):
+        assert lexicon.total(toxicity.fold(text)) > 0, text
+    assert lexicon.total(toxicity.fold("this is idiot proof")) == 0
+    assert lexicon.total(toxicity.fold("idiotic")) == 0
+    short, long = "idiot " + "word " * 5, "idiot " + "word " * 5000
+    assert lexicon.score(short) > lexicon.score(long)
+
+
+def test_toxicity_is_right_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = queries.op10_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in found) >= 0.98 * len(found) > 0
+
+
+def test_toxicity_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 1), (9, 0), (None, 1)], "doc_id LONG, toxic INT")
+    for labelled in (labels, labels.limit(0)):
+        lexicon = toxicity.train(odd_docs, labelled)
+        found = toxicity.score(odd_docs, lexicon).collect()
+        assert len(found) == odd_docs.count() and all(0 <= r.score <= 1 for r in found)
+    assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
