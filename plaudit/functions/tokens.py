@@ -12,6 +12,9 @@ from plaudit.functions.stopwords import is_stop_word
 WORD = r"[\p{L}\p{N}_]+"
 ALPHABETIC = r"^\p{L}+$"
 
+# White space of every script, as a class that Java and RE2 read alike.
+SPACES = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
@@ -27,7 +30,7 @@ def words(text: str | Column) -> Column:
 def alphabetic_words(text: str | Column) -> Column:
     """Lower-cased tokens between white space that hold letters only."""
     text = F.col(text) if isinstance(text, str) else text
-    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES)
     return F.filter(pieces, lambda piece: piece.rlike(ALPHABETIC))
 
 

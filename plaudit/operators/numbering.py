@@ -42,24 +42,27 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 def number_reviews(
     df: DataFrame, directory: str = "dir", file: str = "file", out: str = "fileIndex",
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """0-based running number over (directory, file), both compared as integers.
 
-    Rows whose names are not integers (stray files) are dropped.
+    Returns (numbered rows, rejects); rejects are the rows whose names are not integers (stray files).
     A directory may hold any share of the files, so it is cut into blocks of 65,536 file numbers.
     Only the block sizes are summed up in order, from the two name columns; the wide rows are
     shuffled once, to be numbered inside their block.
     """
     block = [F.col(directory).try_cast("long").alias("_dir"),
              F.shiftright(F.col(file).try_cast("long"), BLOCK_BITS).alias("_block")]
-    rows = df.select("*", *block).where("_dir IS NOT NULL AND _block IS NOT NULL")
+    marked = df.select("*", *block)
+    rows = marked.where("_dir IS NOT NULL AND _block IS NOT NULL")
+    rejects = marked.where("_dir IS NULL OR _block IS NULL").drop("_dir", "_block")
     sizes = rows.groupBy("_dir", "_block").agg(F.count("*").alias("_size"))
     starts = running_total(sizes, ["_dir", "_block"], F.col("_size"), "_before")
     starts = materialize(starts.select("_dir", "_block", "_before"), "block-starts")
     inside = Window.partitionBy("_dir", "_block").orderBy(F.col(file).try_cast("long"), file)
-    return (rows.join(starts, ["_dir", "_block"])
-            .withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
-            .drop("_dir", "_block", "_before"))
+    numbered = (rows.join(starts, ["_dir", "_block"])
+                .withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
+                .drop("_dir", "_block", "_before"))
+    return numbered, rejects
 
 
 def group_number(index: str, size: int) -> Column:

@@ -156,8 +156,10 @@ def brand_rating_density(histogram: DataFrame, min_reviews: int = 20) -> DataFra
     """
     brand = Window.partitionBy(BRAND)
     n, x = F.col("n_rated").cast("double"), F.col("rating").cast("double")
-    sums = histogram.where(F.col("rating").isNotNull()).withColumns({
-        "_reviews": F.sum("n").over(brand), "_n": F.sum(n).over(brand),
+    # Reviews without a rating count towards the limit, as in the other charts, and nowhere else.
+    counted = histogram.withColumn("_reviews", F.sum("n").over(brand)).where(F.col("rating").isNotNull())
+    sums = counted.withColumns({
+        "_n": F.sum(n).over(brand),
         "_s1": F.sum(n * x).over(brand), "_s2": F.sum(n * x * x).over(brand),
         "_low": F.min(x).over(brand), "_high": F.max(x).over(brand)})
     variance = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)

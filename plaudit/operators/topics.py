@@ -17,9 +17,9 @@ TOPICS, TOPIC_WORDS, SWEEPS = 5, 5, 20
 # How fast old batches are forgotten (Spark wants a decay above one half).
 LEARNING_OFFSET, LEARNING_DECAY = 1.0, 0.51
 
-# The model is a dense topics x terms matrix that every task receives: 5 x 2,000,000 doubles
-# are 80 MB. A larger vocabulary is refused, never cut.
-MAX_TERMS = 2_000_000
+# Partitions of the term counts for each core: every one of them returns a dense topics x terms
+# matrix per sweep, so their number must not follow the token table's.
+PARTITIONS_PER_CORE = 2
 
 
 @dataclass
@@ -39,9 +39,11 @@ class TopicModel:
     def topics(self, words: int | None = None) -> DataFrame:
         """(topic, rank, term, weight): the same with the terms themselves."""
         listed = self.weights(words)
+        shown = range(len(self.vocabulary)) if words is None else sorted(
+            {row["term_index"] for row in listed.select("term_index").collect()})
         names = listed.sparkSession.createDataFrame(pa.table({
-            "term_index": pa.array(range(len(self.vocabulary)), pa.int32()),
-            "term": pa.array(self.vocabulary, pa.string())}))
+            "term_index": pa.array(shown, pa.int32()),
+            "term": pa.array([self.vocabulary[i] for i in shown], pa.string())}))
         return listed.join(names, "term_index").select("topic", "rank", "term", "weight")
 
     def document_prior(self) -> list[float]:
@@ -51,19 +53,20 @@ class TopicModel:
 
 def fit_topics(
     docs: DataFrame, tokens: str = "tokens", k: int = TOPICS, sweeps: int = SWEEPS, seed: int = 7,
-    max_terms: int = MAX_TERMS,
 ) -> TopicModel:
     """LDA with a learned, asymmetric document prior over the whole vocabulary.
 
-    Each sweep is one batch of the whole corpus. Pass stored tokens: they are read in every sweep.
+    Each sweep is one batch as large as the corpus, drawn from it with replacement by Spark's
+    online optimizer: a document may be left out of one sweep and be in the next. Pass stored
+    tokens. The vocabulary's size is counted first, so no term is cut.
     """
-    # One term more than allowed is asked for, so a vocabulary that is too large shows.
+    terms = docs.select(F.explode_outer(tokens).alias("term")).where("term IS NOT NULL").distinct().count()
     counter = CountVectorizer(
-        inputCol=tokens, outputCol="features", vocabSize=max_terms + 1, minDF=1.0)
+        inputCol=tokens, outputCol="features", vocabSize=max(1, terms), minDF=1.0)
     counted = counter.fit(docs)
-    if len(counted.vocabulary) > max_terms:
-        raise ValueError(f"more than {max_terms} terms; raise max_terms or drop rare terms")
-    features = counted.transform(docs).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    features = (counted.transform(docs).select("features").repartition(PARTITIONS_PER_CORE * cores)
+                .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         lda = LDA(k=k, maxIter=sweeps, seed=seed, optimizer="online", subsamplingRate=1.0,
                   learningOffset=LEARNING_OFFSET, learningDecay=LEARNING_DECAY,

@@ -13,6 +13,10 @@ from plaudit.operators.search import polarity_split
 from plaudit.scratch import materialize
 
 
+# Buckets in which the words of a class are ranked first.
+RANK_BUCKETS = 64
+
+
 def tokenize(df: DataFrame, text: str = "review", out: str = "tokens") -> DataFrame:
     """Lower-cased word tokens of each text, in order."""
     return df.withColumn(out, tok.words(text))
@@ -47,9 +51,13 @@ def _exploded(df: DataFrame, values: Column, name: str, *kept: str) -> DataFrame
 
 
 def _rank_by_count(counts: DataFrame, word: str, k: int, *by: str) -> DataFrame:
-    # A row number with a limit is cut to k rows in every map task before the groups meet.
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), word)
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # The k first of every (class, hash bucket), then of those: no task sees a class's whole
+    # vocabulary, whatever k is, and the plan is the same for every k.
+    first = [F.desc("n"), F.col(word)]
+    near = Window.partitionBy(*by, "_bucket").orderBy(*first)
+    cut = counts.withColumn("_bucket", F.pmod(F.hash(word), F.lit(RANK_BUCKETS))).withColumn(
+        "rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("_bucket")
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("rank") <= k)
 
 
 def word_frequency(

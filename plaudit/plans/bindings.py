@@ -37,21 +37,20 @@ def with_views(*views: str, body: str) -> str:
     return "WITH " + ",".join(views) + "\n" + body
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work on whole texts, over all cores."""
-    return table(spark, sf_dir, "documents", spread_by="doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages", spread_by="page_id")
+    return table(spark, sf_dir, "pages")
 
 
-def reviews(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", spread_by="doc_id" if spread else None)
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("fileIndex"),

@@ -12,6 +12,9 @@ from plaudit.scratch import materialize, new_path
 from plaudit.sinks import csv as csv_sink, review_files as file_sink, terms as term_sink
 from plaudit.sources import csv as csv_source, pages, payloads, review_files, tables
 
+# Results per payload of the fixture.
+PAGE = 100
+
 BASE_URL = "https://www.example.com"
 
 NA_FIELDS = """
@@ -22,7 +25,7 @@ NA_FIELDS = """
 
 def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound reviews with every field of the schema; absent ones are null."""
-    rows = b.reviews(spark, sf_dir, spread=True)
+    rows = b.reviews(spark, sf_dir)
     absent = F.lit(None).cast("string")
     return rows.select("fileIndex", *[
         F.col(c) if c in rows.columns else absent.alias(c) for c in schemas.REVIEW_FIELDS])
@@ -37,7 +40,7 @@ def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("age"), F.struct(F.col("age").alias("ValueLabel")),
             F.lit("skinType"), F.struct(F.col("skinType").alias("ValueLabel")),
         ).alias("ContextDataValues"))
-    page = F.floor(F.col("fileIndex") / payloads.PAGE).alias("page")
+    page = F.floor(F.col("fileIndex") / PAGE).alias("page")
     return (b.reviews(spark, sf_dir).groupBy("productID", page)
             .agg(F.to_json(F.struct(F.count("*").alias("TotalResults"),
                                     F.collect_list(result).alias("Results"))).alias("payload"))
@@ -48,9 +51,9 @@ def product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as listing pages of one brand, at most 100 products each."""
     listed = F.struct(F.col("p_partkey").cast("string").alias("id"),
                       F.col("p_name").alias("display_name"))
-    page = F.floor(F.col("p_partkey") / payloads.PAGE).alias("page")
+    page = F.floor(F.col("p_partkey") / PAGE).alias("page")
     body = F.struct(
-        F.lit(payloads.PAGE).alias("page_size"), F.count("*").alias("total_products"),
+        F.lit(PAGE).alias("page_size"), F.count("*").alias("total_products"),
         F.struct(F.first("p_brand").alias("brand_name")).alias("brand"),
         F.collect_list(listed).alias("products"))
     return (b.table(spark, sf_dir, "part")
@@ -104,12 +107,24 @@ def flatten_product_payload(spark, sf_dir):
     return payloads.flatten_product_payload(product_payloads(spark, sf_dir))
 
 
+def attribute_sql(tag: str, name: str) -> str:
+    pattern = pages.attribute_pattern(name).replace("'", "''")
+    value = "concat(" + ", ".join(f"regexp_extract({tag}, '{pattern}', {group})" for group in (1, 2, 3)) + ")"
+    for entity, char in pages.ENTITIES:
+        value = "replace({}, '{}', '{}')".format(value, entity, char.replace("'", "''"))
+    return value
+
+
+def has_attribute_sql(tag: str, name: str) -> str:
+    return "regexp_matches({}, '{}')".format(tag, pages.attribute_pattern(name).replace("'", "''"))
+
+
 @query("extract_page_links", f"""
 WITH tags AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*>')) AS tag FROM pages),
+  SELECT page_id, unnest(regexp_extract_all(html, '{pages.ANCHOR}')) AS tag FROM pages),
 hrefs AS (
-  SELECT page_id, regexp_extract(tag, '\\shref="([^"]*)"', 1) AS href FROM tags
-  WHERE regexp_matches(tag, '\\shref="([^"]*)"'))
+  SELECT page_id, {attribute_sql("tag", "href")} AS href FROM tags
+  WHERE {has_attribute_sql("tag", "href")})
 SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
                      ELSE concat('{BASE_URL}', href) END AS link, count(*) AS n
 FROM hrefs GROUP BY ALL""")
@@ -117,10 +132,11 @@ def extract_page_links(spark, sf_dir):
     return pages.extract_page_links(b.pages(spark, sf_dir), BASE_URL)
 
 
-@query("extract_page_attribute", r"""
-SELECT page_id, regexp_extract(list_filter(regexp_extract_all(html, '<div\s[^>]*>'),
-  lambda t: regexp_matches(t, '\sclass="([^"]*)"'))[-1], '\sclass="([^"]*)"', 1) AS class
-FROM pages""")
+@query("extract_page_attribute", f"""
+WITH divs AS (
+  SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<div\\s[^>]*>'),
+    lambda t: {has_attribute_sql("t", "class")})[-1] AS div FROM pages)
+SELECT page_id, CASE WHEN div IS NOT NULL THEN {attribute_sql("div", "class")} END AS class FROM divs""")
 def extract_page_attribute(spark, sf_dir):
     return pages.extract_page_attribute(b.pages(spark, sf_dir), "div", "class")
 
@@ -150,12 +166,13 @@ def preview_rows(spark, sf_dir):
     return tables.preview_rows(b.reviews(spark, sf_dir), 20, "fileIndex")
 
 
-@query("sink_csv_single", b.with_views(b.V_REVIEWS, body="""
-SELECT age, count(*) AS n FROM v_reviews GROUP BY age"""))
+@query("sink_csv_single", b.with_views(b.V_REVIEWS, b.V_PRODUCTS, body="""
+SELECT age, count(*) AS n FROM v_products JOIN v_reviews ON ID = productID GROUP BY age"""))
 def sink_csv_single(spark, sf_dir):
     path = new_path(spark, "age-csv")
-    counts = summary.count_by_age(summary.tally(b.reviews(spark, sf_dir), "age"))
-    csv_sink.write_result_csv(counts, path)
+    counts = summary.count_by_age(summary.product_tally(
+        b.reviews(spark, sf_dir), b.products(spark, sf_dir), "age"))
+    csv_sink.write_result_csv(counts, path, "age")
     return spark.read.schema(counts.schema).options(**csv_source.QUOTING).csv(path)
 
 
@@ -235,7 +252,7 @@ numbered AS (
 def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = b.table(spark, sf_dir, "documents").select(
         "doc_id", F.expr("substr(source, 4)").alias("dir"), F.col("doc_id").cast("string").alias("file"))
-    return numbering.number_reviews(named).drop("file")
+    return numbering.number_reviews(named)[0].drop("file")
 
 
 @query("number_reviews", b.with_views(NUMBERED, body="SELECT doc_id, dir, fileIndex FROM numbered"))

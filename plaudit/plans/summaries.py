@@ -18,10 +18,11 @@ def line_histogram(spark, sf_dir):
     return summary.rating_histogram(line_tally(spark, sf_dir, "Brand_name", "rating"))
 
 
-@query("count_by_age", b.with_views(b.V_REVIEWS, body="""
-SELECT age, count(*) AS n FROM v_reviews GROUP BY age"""))
+@query("count_by_age", b.with_views(b.V_REVIEWS, b.V_PRODUCTS, body="""
+SELECT age, count(*) AS n FROM v_products JOIN v_reviews ON ID = productID GROUP BY age"""))
 def count_by_age(spark, sf_dir):
-    return summary.count_by_age(summary.tally(b.reviews(spark, sf_dir), "age"))
+    return summary.count_by_age(summary.product_tally(
+        b.reviews(spark, sf_dir), b.products(spark, sf_dir), "age"))
 
 
 @query("count_by_skin_type", b.with_views(b.V_REVIEWS, b.V_PRODUCTS, body="""
@@ -94,7 +95,7 @@ SELECT Brand_name, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 9) AS share FROM
   WHERE regexp_matches(review, '{KEY}') AND age = 'en'
   GROUP BY Brand_name ORDER BY n DESC, Brand_name LIMIT 20)"""))
 def search_top_brands(spark, sf_dir):
-    found = search.search_reviews(b.reviews(spark, sf_dir, spread=True), KEY, b.DOMAINS, age="en")
+    found = search.search_reviews(b.reviews(spark, sf_dir), KEY, b.DOMAINS, age="en")
     return summary.top_brands(summary.product_tally(found, b.products(spark, sf_dir), "Brand_name"))
 
 
@@ -157,4 +158,4 @@ SELECT rating, count(*) AS n_reviews, CAST(sum(length(review)) AS BIGINT) AS n_c
        max(len(regexp_extract_all(lower(review), '[\p{L}\p{N}_]+'))) AS max_words
 FROM v_reviews GROUP BY rating"""))
 def corpus_size(spark, sf_dir):
-    return summary.corpus_size(b.reviews(spark, sf_dir, spread=True), "rating")
+    return summary.corpus_size(b.reviews(spark, sf_dir), "rating")

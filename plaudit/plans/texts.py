@@ -74,7 +74,7 @@ def stem_tokens(spark, sf_dir):
 
 
 def _review_tokens(spark, sf_dir):
-    return words.review_tokens(b.reviews(spark, sf_dir, spread=True))
+    return words.review_tokens(b.reviews(spark, sf_dir))
 
 
 @query("review_tokens", b.with_views(b.V_REVIEWS, POLARITY, f"""
@@ -94,7 +94,7 @@ def review_tokens(spark, sf_dir):
 
 @query("word_frequency", b.with_views(b.V_REVIEWS, POLARITY, rf"""
 words AS (
-  SELECT polarity, unnest(string_split_regex(lower(review), '\s+')) AS word FROM polar)""", rf"""
+  SELECT polarity, unnest(string_split_regex(lower(review), '[\t-\r\x1c-\x20\x85\p{{Z}}]+')) AS word FROM polar)""", rf"""
 counts AS (
   SELECT polarity, word, count(*) AS n FROM words
   WHERE regexp_matches(word, '^\p{{L}}+$') AND word NOT IN ({sql_list(stopwords.TOOLKIT)})
@@ -102,7 +102,7 @@ counts AS (
 SELECT polarity, word, n, CAST(row_number() OVER (PARTITION BY polarity ORDER BY n DESC, word) AS INT)
        AS rank FROM counts QUALIFY rank <= 30"""))
 def word_frequency(spark, sf_dir):
-    return words.word_frequency(b.reviews(spark, sf_dir, spread=True))
+    return words.word_frequency(b.reviews(spark, sf_dir))
 
 
 @query("cloud_weights", b.with_views(b.V_REVIEWS, POLARITY, r"""
@@ -116,7 +116,7 @@ counts AS (
 SELECT polarity, word, n,
        round(n / CAST(max(n) OVER (PARTITION BY polarity) AS DOUBLE), 9) AS weight FROM counts"""))
 def cloud_weights(spark, sf_dir):
-    return words.cloud_weights(b.reviews(spark, sf_dir, spread=True))
+    return words.cloud_weights(b.reviews(spark, sf_dir))
 
 
 @query("dictionary", b.with_views(DOC_TERMS, DICTIONARY, body="SELECT * FROM dictionary"))

@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 # Bytes of shuffled data that one task should get.
-TASK_BYTES = 128 * 1024 * 1024
+TASK_BYTES = 512 * 1024 * 1024
+
+# Bytes in memory for one stored byte of dictionary-coded text, for the plan's size estimates.
+COMPRESSION = 4.0
 
 
 def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
@@ -21,6 +24,7 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
+        "spark.sql.sources.fileCompressionFactor": str(COMPRESSION),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from plaudit.operators.numbering import place_in_groups
@@ -14,20 +13,14 @@ WRITING = {**QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpac
 PART_ROWS = 500_000
 
 
-def write_result_csv(df: DataFrame, path: str, part_rows: int = PART_ROWS) -> int:
-    """Write a finished result without header, in one file if it has at most ``part_rows`` rows.
+def write_result_csv(df: DataFrame, path: str, *order: str, files: int = 1) -> None:
+    """Write a finished result without header in ``files`` files, sorted by ``order`` across them.
 
-    The row count is taken first; a larger result gets one file per ``part_rows``, so no task
-    writes an unbounded file. An existing path is an error. Returns the number of parts.
+    The files hold ranges of the order, so read one after the other they are sorted. The caller
+    chooses their number, with the same plan for every size. An existing path is an error.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parts = max(1, -(-df.count() // part_rows))
-        placed = df.coalesce(1) if parts == 1 else df.repartition(parts)
-        placed.write.options(**WRITING).csv(path)
-    finally:
-        df.unpersist()
-    return parts
+    placed = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    placed.write.options(**WRITING).csv(path)
 
 
 def write_csv_rollover(

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Patterns stay in the subset that Java and RE2 read alike.
-ANCHOR = r"<a\s[^>]*>"
-HREF = r'\shref="([^"]*)"'
+# Patterns stay in the subset that Java and RE2 read alike. Names are of any case; a value has
+# double, single or no quotes, one group for each.
+ANCHOR = r"(?i)<a\s[^>]*>"
+
+# Entities that are written out, the ampersand last.
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def attribute_pattern(name: str) -> str:
-    return rf'\s{name}="([^"]*)"'
+    return rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def attribute_value(tag: str | Column, name: str) -> Column:
+    """Value of an attribute of a tag with its entities written out; empty if the tag has none."""
+    pattern = attribute_pattern(name)
+    value = F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, group), F.lit("")) for group in (1, 2, 3)])
+    for entity, char in ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return value
 
 
 def absolute_link(href: Column, base_url: str) -> Column:
@@ -27,9 +39,11 @@ def extract_page_links(
     tags = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
     tag = pages.select(key, F.explode_outer(tags).alias("tag"))
     if css_class is not None:
-        tag = tag.where(F.regexp_extract("tag", attribute_pattern("class"), 1) == css_class)
-    linked = tag.where(F.col("tag").rlike(HREF)).select(
-        key, absolute_link(F.regexp_extract("tag", HREF, 1), base_url).alias("link"))
+        # One word is one class among those of the tag; several words are the whole attribute.
+        value = attribute_value("tag", "class")
+        tag = tag.where((value == css_class) | F.array_contains(F.split(value, r"\s+"), css_class))
+    linked = tag.where(F.col("tag").rlike(attribute_pattern("href"))).select(
+        key, absolute_link(attribute_value("tag", "href"), base_url).alias("link"))
     return linked.groupBy(key, "link").agg(F.count("*").alias("n"))
 
 
@@ -41,11 +55,12 @@ def extract_page_attribute(
 
     ``marker`` is an (attribute, value) that the tag must also carry.
     """
-    tags = F.regexp_extract_all(html, F.lit(rf"<{tag}\s[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\s[^>]*>"), F.lit(0))
     pattern = attribute_pattern(attribute)
     found = F.filter(tags, lambda t: t.rlike(pattern))
     if marker is not None:
         name, value = marker
-        found = F.filter(found, lambda t: F.regexp_extract(t, attribute_pattern(name), 1) == value)
+        found = F.filter(found, lambda t: attribute_value(t, name) == value)
     last = F.try_element_at(found, F.lit(-1))
-    return pages.select(key, F.regexp_extract(last, pattern, 1).alias(attribute.replace("-", "_")))
+    value = F.when(last.isNotNull(), attribute_value(last, attribute))
+    return pages.select(key, value.alias(attribute.replace("-", "_")))

@@ -1,4 +1,4 @@
-"""API payloads: JSON text to flat rows. A payload is one page of results, at most ``PAGE`` long."""
+"""API payloads: JSON text to flat rows. A payload is one page of results."""
 
 from __future__ import annotations
 
@@ -7,25 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaudit import schemas
 from plaudit.functions.missing import null_to_na
 
-# Fixed value: results per request.
-PAGE = 100
-
 FACET_FIELDS = list(schemas.FACETS)
 
 
 def flatten_review_payload(
-    payloads: DataFrame, payload: str = "payload", offset: str | None = None, page: int = PAGE,
+    payloads: DataFrame, payload: str = "payload", offset: str | None = None, page: int | None = None,
 ) -> DataFrame:
     """One row per review of each payload; absent or null fields become ``NA``.
 
     A payload without a total, or with total 0, gives no rows; neither does text that is not JSON.
-    At most ``page`` results, and no more than the total beyond ``offset``, are taken.
+    No more results than the total beyond ``offset`` are taken, and no more than ``page`` if the
+    caller asked the service for pages of that length. Each payload is parsed once.
     """
     skipped = F.col(offset) if offset else F.lit(0)
     body = F.from_json(payload, schemas.REVIEW_PAYLOAD)
-    parsed = payloads.withColumn("_body", body).where(F.col("_body.TotalResults") > 0)
-    left = F.least(F.col("_body.TotalResults") - skipped, F.lit(page)).cast("int")
-    taken = F.when(left > 0, F.slice("_body.Results", F.lit(1), left))
+    parsed = payloads.withColumn("_body", body)
+    left = F.col("_body.TotalResults") - skipped
+    left = (left if page is None else F.least(left, F.lit(page))).cast("int")
+    taken = F.when((F.col("_body.TotalResults") > 0) & (left > 0), F.slice("_body.Results", F.lit(1), left))
     kept = [c for c in payloads.columns if c not in (payload, offset)]
 
     def facet(name: str) -> Column:

@@ -5,18 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """Read a Parquet table.
-
-    With ``spread_by``, a table that gives fewer scan tasks than there are cores is hashed on that
-    key over all cores, for work that is heavy per row (tokenising whole texts). Such a table holds
-    at most one scan split per core, so the exchange is bounded; a larger table is left as it lies.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores, spread_by)
-    return table
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table as it lies; filters and column choices reach the scan."""
+    return spark.read.parquet(path)
 
 
 def register_views(**frames: DataFrame) -> None:

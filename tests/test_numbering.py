@@ -22,14 +22,15 @@ def test_number_reviews_with_one_hot_directory(spark):
     names = [(7, i * 131) for i in range(3000)] + [(d, f) for d in (2, 10) for f in (10, 2, 70000)]
     rows = [(str(d), str(f)) for d, f in names]
     df = spark.createDataFrame(rows, "dir STRING, file STRING").repartition(5)
-    got = {(int(r.dir), int(r.file)): r.fileIndex for r in numbering.number_reviews(df).collect()}
+    got = {(int(r.dir), int(r.file)): r.fileIndex for r in numbering.number_reviews(df)[0].collect()}
     assert got == {name: i for i, name in enumerate(sorted(names))}
 
 
 def test_equal_numbers_are_ordered_by_name(spark):
     df = spark.createDataFrame([("1", "1"), ("1", "01"), ("x", "3")], "dir STRING, file STRING")
-    rows = {r.file: r.fileIndex for r in numbering.number_reviews(df).collect()}
+    rows = {r.file: r.fileIndex for r in numbering.number_reviews(df)[0].collect()}
     assert rows == {"01": 0, "1": 1}
+    assert [tuple(r) for r in numbering.number_reviews(df)[1].collect()] == [("x", "3")]
 
 
 def test_parts_and_dirs(spark):

@@ -42,4 +42,4 @@ def test_materialize_keeps_rows_and_schema_even_when_empty(spark):
 
 def test_shuffle_partitions_grow_with_the_data():
     assert session.settings(0, 8)["spark.sql.shuffle.partitions"] == "8"
-    assert int(session.settings(100 * 1024**4, 8)["spark.sql.shuffle.partitions"]) == 819200
+    assert int(session.settings(100 * 1024**4, 8)["spark.sql.shuffle.partitions"]) == 204800

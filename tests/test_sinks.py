@@ -10,21 +10,16 @@ from plaudit.sinks import csv as csv_sink, review_files as file_sink, terms as t
 from plaudit.sources import csv as csv_source, review_files
 
 
-def test_result_csv_is_one_file_and_never_overwrites(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 4])
+def test_result_csv_stays_sorted_and_never_overwrites(spark, tmp_path, files):
     path = str(tmp_path / "out")
-    df = spark.createDataFrame([("a", 1), ('b,"c', 2)], "k STRING, n LONG").repartition(4)
-    assert csv_sink.write_result_csv(df, path) == 1
-    files = glob.glob(path + "/part-*")
-    assert len(files) == 1
-    assert sorted(open(files[0]).read().splitlines()) == ['"b,""c",2', "a,1"]
+    df = spark.range(40).select(F.concat(F.lit('b,"'), F.lpad(F.col("id").cast("string"), 2, "0")).alias("k"), "id").repartition(4)
+    csv_sink.write_result_csv(df, path, "k", files=files)
+    parts = sorted(glob.glob(path + "/part-*.csv"))
+    assert len(parts) == files
+    assert [line for part in parts for line in open(part).read().splitlines()] == [f'"b,""{i:02}",{i}' for i in range(40)]
     with pytest.raises(Exception, match="exist"):
-        csv_sink.write_result_csv(df, path)
-
-
-def test_large_result_gets_several_files(spark, tmp_path):
-    path = str(tmp_path / "out")
-    assert csv_sink.write_result_csv(spark.range(100), path, part_rows=30) == 4
-    assert spark.read.csv(path).count() == 100
+        csv_sink.write_result_csv(df, path, "k")
 
 
 def test_rollover_parts_are_exact(spark, tmp_path):

@@ -130,29 +130,29 @@ def test_page_links_and_attributes(spark):
             '</div><div certona="BRAND" data-brand_id="3"></div><div class="z"></div>')
     df = spark.createDataFrame([(1, html), (2, "plain"), (3, None)], "page_id LONG, html STRING")
     links = {(r.page_id, r.link): r.n for r in pages.extract_page_links(df, "http://b").collect()}
-    assert links == {(1, "http://b/one"): 2, (1, "https://h.org/t"): 1}
+    assert links == {(1, "http://b/one"): 2, (1, "http://b/upper"): 1, (1, "https://h.org/t"): 1}
     marked = pages.extract_page_links(df, "http://b", css_class="x y").collect()
     assert [(r.link, r.n) for r in marked] == [("http://b/one", 2)]
     brand = pages.extract_page_attribute(df, "div", "data-brand_id", ("certona", "BRAND"))
     assert {r.page_id: r.data_brand_id for r in brand.collect()} == {1: "3", 2: None, 3: None}
 
 
-def test_spread_only_touches_small_tables(spark, sf_dir):
-    cores = spark.sparkContext.defaultParallelism
-    path = f"{sf_dir}/documents.parquet"
-    assert tables.read_table(spark, path, "doc_id").rdd.getNumPartitions() == cores
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    cost = spark.conf.get("spark.sql.files.openCostInBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
-        plan = tables.read_table(spark, path, "doc_id")._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+def test_payloads_of_any_length_are_whole_and_parsed_once(spark):
+    results = ",".join('{"UserNickname":"u%d","Rating":5,"ReviewText":"t"}' % i for i in range(150))
+    df = spark.createDataFrame([('{"TotalResults":150,"Results":[%s]}' % results,), ("no json",), (None,)], "payload STRING")
+    rows = payloads.flatten_review_payload(df)
+    assert rows.count() == 150 and payloads.flatten_review_payload(df, page=100).count() == 100
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json") <= 1
 
 
+def test_attributes_of_any_case_and_quoting(spark):
+    html = """<a class='k other' href='/x'>1</a><A HREF="/z?a=1&amp;b=2">2</A><a href=/plain>3</a><DIV class=one></DIV>"""
+    df = spark.createDataFrame([(1, html)], "page_id LONG, html STRING")
+    links = {r.link for r in pages.extract_page_links(df, "http://h").collect()}
+    assert links == {"http://h/x", "http://h/z?a=1&b=2", "http://h/plain"}
+    assert {r.link for r in pages.extract_page_links(df, "http://h", css_class="k").collect()} == {"http://h/x"}
+    assert pages.extract_page_attribute(df, "div", "class").first()["class"] == "one"
+
 def test_csv_round_trip_of_random_texts(spark, tmp_path):
     rng = random.Random(2)
     pieces = ['"', '""', ",", "\n", "\r\n", "\t", "'", "\\", " ", "é", "漢", "a", "NA", "#", ";", " "]

@@ -103,6 +103,14 @@ def test_density(rated):
         assert r.x == pytest.approx(x, abs=1e-8) and r.density == pytest.approx(expected, abs=1e-8)
 
 
+def test_unrated_reviews_count_towards_the_limit_of_every_chart(spark):
+    rows = [(i, "b", float(1 + i % 5), "x") for i in range(20)] + [(20, "b", None, "x")]
+    df = spark.createDataFrame(rows, "fileIndex LONG, Brand_name STRING, rating DOUBLE, review STRING")
+    histogram = summary.rating_histogram(summary.tally(df, "Brand_name", "rating"))
+    assert summary.brand_rating_violin_stats(histogram, 20).count() == 1
+    assert summary.brand_rating_density(histogram, 20).select("Brand_name").distinct().count() == 1
+
+
 def test_corpus_size(reviews):
     sizes = {r.skinType: r for r in summary.corpus_size(reviews, "skinType").collect()}
     dry = sizes["Dry"]

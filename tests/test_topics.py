@@ -50,6 +50,7 @@ def test_each_topic_is_a_distribution_over_the_whole_vocabulary(models):
                and r.doc_prior > 0 for r in rows)
 
 
-def test_a_vocabulary_that_is_too_large_is_refused(docs):
-    with pytest.raises(ValueError, match="more than 9 terms"):
-        topics.fit_topics(docs, max_terms=9)
+def test_the_whole_vocabulary_is_used_and_only_shown_words_are_named(docs):
+    model = topics.fit_topics(docs, sweeps=2)
+    assert len(model.vocabulary) == len({t for r in docs.collect() for t in r.tokens})
+    assert model.topics(2).count() == 2 * topics.TOPICS

@@ -126,6 +126,20 @@ def test_frequency_and_cloud_per_polarity(spark):
     assert ("pos", "the") not in cloud and ("pos", "it") not in cloud
 
 
+def test_words_between_spaces_of_every_script(spark):
+    df = spark.createDataFrame([(1, "5", "red\u00a0lips\u3000red\u2003glow")], "fileIndex LONG, rating STRING, review STRING")
+    assert {r.word: r.n for r in words.word_frequency(df, stop_words=[]).collect()} == {"red": 2, "lips": 1, "glow": 1}
+
+
+def test_large_and_small_k_agree(spark):
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2500))
+    df = spark.createDataFrame([(1, "5", text), (2, "1", text)], "fileIndex LONG, rating STRING, review STRING")
+    many = words.word_frequency(df, k=2000, stop_words=[]).collect()
+    assert len(many) == 4000 and max(r["rank"] for r in many) == 2000
+    few = words.word_frequency(df, k=3, stop_words=[]).collect()
+    assert sorted(few) == sorted(r for r in many if r["rank"] <= 3)
+
+
 def test_review_tokens_need_no_shuffle(spark):
     rows = [(1, "5", "The ponies were running"), (2, "1", "Skies!"), (3, "4", "no")]
     reviews = spark.createDataFrame(rows, "fileIndex LONG, rating STRING, review STRING")
