@@ -1,11 +1,12 @@
 """Language-model scores, quality rules, rankings and toxicity."""
-from odd_tables import no_docs, odd_docs  # noqa: F401
 import math
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from odd_tables import no_docs, odd_docs  # noqa: F401
 
 from plaudit.llm import bpe, lattice, ngram_quality, queries, ranking, toxicity
 
@@ -95,6 +96,25 @@ def test_ngram_counts_are_those_of_all_texts(spark):
     assert got == {int(k): 2 * int((keys == k).sum()) for k in keys}
 
 
+def test_runs_of_signs_are_one_character():
+    assert ngram_quality.ngram_keys(b"ab### ab").tolist() == ngram_quality.ngram_keys(b"ab* ab").tolist()
+    assert len(ngram_quality.ngram_keys(b"aabb")) == 5
+
+
+def test_bands_reject_junk_that_is_frequent(spark):
+    """Every tenth text has a sign run after each word; the others stay, the copies among them too."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ta", "ro", "mi", "ke", "son", "al"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        chosen = rng.choices(words, k=80)
+        text = " ".join(w + "$$$" for w in chosen) if i % 10 == 0 else " ".join(chosen)
+        rows.append((i, text if i < 300 or i % 10 == 0 else rows[1][1], "xx"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = ngram_quality.judge(docs).collect()
+    assert {r.doc_id for r in judged if not r.kept} == {i for i in range(400) if i % 10 == 0}
+
+
 def test_quality_rules_on_odd_and_empty_tables(odd_docs, no_docs):
     found = ngram_quality.judge(odd_docs).collect()
     assert len(found) == odd_docs.count()
