@@ -78,13 +78,15 @@ def place_in_groups(
     The number of tasks follows the number of rows, not the session's shuffle partitions: at most
     one per group, and otherwise enough for all cores and for ``TASK_ROWS`` rows each. The largest
     index tells how many rows there are; it is looked up, from that one column, if it is not given.
+    Rows without an index belong to no group and are dealt out over the tasks by their values.
     """
     if last_index is None:
         last_index = df.agg(F.max(index)).first()[0] or 0
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = min(int(last_index) // size + 1, max(cores, int(last_index) // TASK_ROWS + 1))
     placed = df.withColumn(out, group_number(index, size))
-    return placed.repartition(tasks, out).sortWithinPartitions(out, index)
+    dealt = F.when(F.col(index).isNull(), F.xxhash64(*df.columns))
+    return placed.repartition(tasks, out, dealt).sortWithinPartitions(out, index)
 
 
 def assign_output_part(df: DataFrame, index: str, part_rows: int, dir_rows: int) -> DataFrame:

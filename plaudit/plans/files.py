@@ -77,7 +77,7 @@ FROM part""")
 def scan_csv_infer(spark, sf_dir):
     path = new_path(spark, "part-csv")
     csv_sink.write_review_csv(b.table(spark, sf_dir, "part"), path)
-    return csv_source.read_csv_infer(spark, path)
+    return csv_source.read_csv_infer(spark, path, multi_line=False)
 
 
 @query("scan_review_text_files", b.with_views(b.V_REVIEWS, body=f"""
@@ -176,15 +176,32 @@ def sink_csv_single(spark, sf_dir):
     return spark.read.schema(counts.schema).options(**csv_source.QUOTING).csv(path)
 
 
-@query("sink_csv_rollover", b.with_views(b.V_REVIEWS, body="""
-SELECT CAST(fileIndex // 100 + 1 AS BIGINT) AS part, count(*) AS n,
-       min(fileIndex) AS first_index, max(fileIndex) AS last_index
-FROM v_reviews GROUP BY 1"""))
-def sink_csv_rollover(spark, sf_dir):
-    path = new_path(spark, "rollover-csv")
-    csv_sink.write_csv_rollover(full_reviews(spark, sf_dir), path, part_rows=100)
+def rollover(rows: DataFrame, path: str) -> DataFrame:
+    """Numbered reviews written in parts of 100 and read back, each with its part."""
+    csv_sink.write_csv_rollover(search.null_to_missing(rows, *schemas.REVIEW_FIELDS), path, part_rows=100)
     schema = T.StructType([*schemas.REVIEW, T.StructField("part", T.LongType())])
-    return csv_sink.part_sizes(csv_source.read_csv_drop_malformed(spark, path, schema))
+    return csv_source.read_csv_drop_malformed(rows.sparkSession, path, schema)
+
+
+@query("sink_csv_rollover", b.with_views(b.V_REVIEWS, body=f"""
+SELECT CAST(fileIndex // 100 + 1 AS BIGINT) AS part, fileIndex, productID, {NA_FIELDS}
+FROM v_reviews"""))
+def sink_csv_rollover(spark, sf_dir):
+    return rollover(full_reviews(spark, sf_dir), new_path(spark, "rollover-csv"))
+
+
+@query("convert_review_files", b.with_views(b.V_REVIEWS, body=f"""
+SELECT CAST(new_index // 100 + 1 AS BIGINT) AS part, new_index AS fileIndex, productID, {NA_FIELDS}
+FROM (SELECT *, row_number() OVER (ORDER BY CAST(substr(productID, 4) AS BIGINT), fileIndex) - 1
+             AS new_index FROM v_reviews)"""))
+def convert_review_files(spark, sf_dir):
+    """The whole converter: a tree of text files, numbered in file order, written as CSV parts."""
+    path = new_path(spark, "convert")
+    rows = full_reviews(spark, sf_dir).withColumn("folder", F.substring("productID", 4, 9))
+    file_sink.write_review_file_tree(rows, f"{path}/tree", "folder", "fileIndex")
+    found = review_files.read_review_text_dirs(spark, f"{path}/tree")[0]
+    numbered = numbering.number_reviews(found)[0].select("fileIndex", *schemas.REVIEW_FIELDS)
+    return rollover(materialize(numbered, "numbered"), f"{path}/parts")
 
 
 @query("sink_review_text_dirs", b.with_views(b.V_REVIEWS, body=f"""

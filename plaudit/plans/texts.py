@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from plaudit.functions import stopwords
 from plaudit.operators import numbering, topics, words
@@ -137,12 +137,7 @@ def term_document_matrix(spark, sf_dir):
     return words.term_document_matrix(_tokens(spark, sf_dir), "doc_id", CHOSEN_WORDS)
 
 
-def topic_models(spark, sf_dir, **options):
-    return topics.lda_topics(
-        materialize(_review_tokens(spark, sf_dir), "review-tokens"), **options)
-
-
-@query("lda_topics", b.with_views(b.V_REVIEWS, POLARITY, f"""
+TOPIC_SIZES = (b.V_REVIEWS, POLARITY, f"""
 words AS (
   SELECT DISTINCT polarity, unnest(regexp_extract_all(lower(review), '[\\p{{L}}\\p{{N}}_]+')) AS term
   FROM polar)""", f"""
@@ -150,17 +145,32 @@ vocabulary AS (
   SELECT DISTINCT term FROM words WHERE term NOT IN ({sql_list(stopwords.merged())}))""", STEMS, """
 sizes AS (
   SELECT polarity, count(DISTINCT stem) AS n_terms FROM words JOIN stems USING (term)
-  GROUP BY polarity)""", body="""
+  GROUP BY polarity)""")
+
+
+@query("lda_topics", b.with_views(*TOPIC_SIZES, body="""
 SELECT polarity, CAST(topic AS INTEGER) AS topic, n_terms, CAST(1 AS DOUBLE) AS total_weight,
        true AS valid
 FROM sizes, (SELECT unnest(range(5)) AS topic)"""))
 def lda_topics(spark, sf_dir):
     """What holds for every right model: 5 topics per class, each a distribution over all stems."""
-    return topics.topic_summary(topic_models(spark, sf_dir)).select(
+    models = topics.lda_topics(materialize(_review_tokens(spark, sf_dir), "review-tokens"))
+    return topics.topic_summary(models).select(
         "polarity", "topic", "n_terms", "total_weight",
         ((F.col("min_weight") >= 0) & (F.col("doc_prior") > 0)).alias("valid"))
 
 
-@query("topic_words")
+@query("topic_words", b.with_views(*TOPIC_SIZES, body="""
+SELECT polarity, CAST(topic AS INTEGER) AS topic, CAST(place AS INTEGER) AS rank, true AS known,
+       true AS falling
+FROM sizes, (SELECT unnest(range(5)) AS topic), (SELECT unnest(range(1, 6)) AS place)
+WHERE place <= n_terms"""))
 def topic_words(spark, sf_dir):
-    return topics.topic_words(topic_models(spark, sf_dir))
+    """What holds for every right model: words of the class's own stems, weights falling from a positive one."""
+    tokens = materialize(_review_tokens(spark, sf_dir), "review-tokens")
+    stems = tokens.select("polarity", F.explode("tokens").alias("term")).distinct().withColumn("found", F.lit(True))
+    before = Window.partitionBy("polarity", "topic").orderBy("rank")
+    falling = (F.col("weight") > 0) & (F.col("weight") <= F.coalesce(F.lag("weight").over(before), F.lit(1.0)))
+    return (topics.topic_words(topics.lda_topics(tokens)).withColumn("falling", falling)
+            .join(stems, ["polarity", "term"], "left")
+            .select("polarity", "topic", "rank", F.coalesce("found", F.lit(False)).alias("known"), "falling"))

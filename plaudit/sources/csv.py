@@ -1,7 +1,8 @@
 """Headed CSV files with free text: quotes are doubled and newlines stay inside quotes.
 
 A multi-line file cannot be split, so land CSV once as Parquet (many parts, not one huge file)
-and query that. All columns are parsed at ingest: which rows count as malformed depends on them.
+and query that. Where no text holds a newline, pass ``multi_line=False``: Spark then reads one
+large file in splits. All columns are parsed at ingest: which rows count as malformed depends on them.
 """
 
 from __future__ import annotations
@@ -13,31 +14,35 @@ from plaudit.functions.missing import na_to_null
 
 QUOTING = {"quote": '"', "escape": '"'}
 # A null value that no field has keeps an empty quoted text apart from a missing field.
-READING = {**QUOTING, "header": True, "multiLine": True, "nullValue": "\0"}
+READING = {**QUOTING, "header": True, "nullValue": "\0"}
 
 
-def read_csv_drop_malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_drop_malformed(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True,
+) -> DataFrame:
     """Read with a declared schema and drop rows that do not fit it.
 
     The reader skips column pruning, so the same rows are dropped whatever a query selects.
     """
-    return (spark.read.schema(schema).options(**READING)
+    return (spark.read.schema(schema).options(**READING, multiLine=multi_line)
             .option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path))
 
 
-def read_reviews(spark: SparkSession, path: str, row_label: str | None = None) -> DataFrame:
+def read_reviews(
+    spark: SparkSession, path: str, row_label: str | None = None, multi_line: bool = True,
+) -> DataFrame:
     """Reviews with ``NA`` turned into null.
 
     ``row_label`` names an extra first column, as a table tool leaves it in front of the fields.
     """
     label = [] if row_label is None else [T.StructField(row_label, T.LongType())]
-    rows = read_csv_drop_malformed(spark, path, T.StructType([*label, *schemas.REVIEW]))
+    rows = read_csv_drop_malformed(spark, path, T.StructType([*label, *schemas.REVIEW]), multi_line)
     return rows.select(*[f.name for f in label], "fileIndex",
                        *[na_to_null(c).alias(c) for c in schemas.REVIEW_FIELDS])
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_csv_drop_malformed(spark, path, schemas.PRODUCT)
+def read_products(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    rows = read_csv_drop_malformed(spark, path, schemas.PRODUCT, multi_line)
     return rows.select(*[na_to_null(c).alias(c) for c in schemas.PRODUCT.names])
 
 
@@ -45,12 +50,12 @@ def read_brand_urls(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_drop_malformed(spark, path, schemas.BRAND_URL)
 
 
-def read_csv_infer(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_infer(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Read with types inferred from the data; costs one more pass over the file."""
-    return spark.read.options(**READING).option("inferSchema", True).csv(path)
+    return spark.read.options(**READING, multiLine=multi_line).option("inferSchema", True).csv(path)
 
 
 def read_polarity_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A two-column sheet: its first row is a header, whatever it says, and is dropped."""
-    return (spark.read.schema(schemas.POLARITY_SAMPLE).options(**READING)
+    return (spark.read.schema(schemas.POLARITY_SAMPLE).options(**READING, multiLine=True)
             .option("enforceSchema", True).csv(path))

@@ -39,6 +39,15 @@ def test_parts_and_dirs(spark):
     assert [(r.part, r.dir) for r in rows] == [(1, 1), (1, 1), (2, 1), (2, 2), (3, 2)]
 
 
+def test_rows_without_a_number_are_dealt_out_and_groups_stay_whole(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 1000, F.col("id")).alias("i"), F.col("id").alias("v"))
+    placed = numbering.place_in_groups(df, "i", 10, "part").withColumn("task", F.spark_partition_id())
+    rows = placed.collect()
+    assert sorted(r.v for r in rows) == list(range(4000))
+    assert len({r.task for r in rows if r.i is None}) > 1
+    assert len({(r.part, r.task) for r in rows if r.i is not None}) == 100
+
+
 def test_numeric_names(spark):
     df = spark.createDataFrame([("10",), ("2",), (".DS_Store",), ("1",)], "name STRING")
     rows = {r.name: r.position for r in numbering.sort_numeric_names(df, "name").collect()}

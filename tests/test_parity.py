@@ -5,18 +5,17 @@ import pytest
 import __spark_entry__ as contract
 from conftest import plan_of
 from parity import compare
+from plaudit.plans.registry import ORACLES, QUERIES
 
-ORACLES = contract.oracle_sql()
-ROWS_ONLY = {"topic_words"}
 
-
-def test_every_query_but_the_topic_words_has_sql():
-    assert set(contract.queries()) - set(ORACLES) == ROWS_ONLY
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    df = contract.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     plan = plan_of(df)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert ("ArrowEvalPython" in plan) == (name in ("stem_tokens", "review_tokens"))

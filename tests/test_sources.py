@@ -51,6 +51,21 @@ def test_csv_type_inference(spark, tmp_path):
         ("a", "int"), ("b", "string"), ("c", "double")]
 
 
+def test_one_large_file_without_newlines_is_read_in_splits(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    lines = [f'P{i},"Glow, ""new"" {i}",1,Alpha' for i in range(3000)]
+    path.write_text("\n".join(["ID,Product_name,Brand_id,Brand_name", *lines]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split, whole = (csv_source.read_products(spark, str(path), multi_line=m) for m in (False, True))
+        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+        assert split.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_sheet_header_is_replaced(spark, tmp_path):
     path = tmp_path / "sheet.csv"
     path.write_text("whatever,header\n5,good\n1,bad\n")
