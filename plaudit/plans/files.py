@@ -199,7 +199,8 @@ def convert_review_files(spark, sf_dir):
     path = new_path(spark, "convert")
     rows = full_reviews(spark, sf_dir).withColumn("folder", F.substring("productID", 4, 9))
     file_sink.write_review_file_tree(rows, f"{path}/tree", "folder", "fileIndex")
-    found = review_files.read_review_text_dirs(spark, f"{path}/tree")[0]
+    # The numbering reads the names and the rows: opening a file per review is paid once.
+    found = materialize(review_files.read_review_text_dirs(spark, f"{path}/tree")[0], "found")
     numbered = numbering.number_reviews(found)[0].select("fileIndex", *schemas.REVIEW_FIELDS)
     return rollover(materialize(numbered, "numbered"), f"{path}/parts")
 
