@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, tiled exact comparison, components."""
+"""Near-duplicates: SimHash with tiled exact comparison, candidates confirmed by shared shingles, components."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.llm.common import split_words, texts
 from plaudit.llm.components import components, forest
@@ -21,30 +21,66 @@ SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 # so pairs are looked for under every choice of that many blocks.
 BLOCKS = 6
 
+# Near copies in a corpus: words per shingle, and shared over all distinct shingles from which two
+# texts are near copies.
+COPY_WORDS, SIMILARITY = 5, 0.8
+
+# Bands of MinHash values, and values of one band. Two texts with a similarity of 0.8 agree in a
+# band with chance 0.8 ** 6 = 0.26, so they share none of 40 with chance 5 in a million.
+BANDS, BAND_ROWS = 40, 6
+
 # Rows of one tile. A bucket that holds more is cut into tiles and compared tile by tile.
 TILE_ROWS = 2048
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of the lower-cased word shingles of a text; 0 if it has no word.
+def shingles(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of the lower-cased word shingles of a text in order, repeats included, in stretches.
 
-    A bit is set if it is set in more than half of the shingle hashes, repeats included.
+    A text with fewer words is one shingle, a text without words has none.
     """
     tokens = split_words(text.lower())
     if not tokens:
-        return 0
+        return
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) + np.arange(len(tokens))
     starts = np.concatenate([[0], ends[:-1] + 1])
     whole = b" ".join(tokens)
     last = max(1, len(tokens) - words + 1)
     stops = ends[words - 1:] if len(tokens) >= words else ends[-1:]
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, last, 65_536):
         part = zip(starts[at:at + 65_536].tolist(), stops[at:at + 65_536].tolist())
-        hashes = np.array([digest(whole[i:j], seed) for i, j in part], np.uint64)
+        yield np.array([digest(whole[i:j], seed) for i, j in part], np.uint64)
+
+
+def shingle_set(text: bytes, words: int = COPY_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = list(shingles(text, words))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def band_keys(members: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """One hash for each band of MinHash values of a set; none for the empty set."""
+    if not len(members):
+        return []
+    masks, factors = np.random.default_rng(SEED).integers(0, 1 << 32, (2, bands * rows, 1), np.uint32)
+    factors |= np.uint32(1)
+    least = np.full(bands * rows, (1 << 32) - 1, np.uint32)
+    high = (members >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):
+        np.minimum(least, ((high[at:at + 1024] ^ masks) * factors).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes()) - (1 << 63) for band in least.reshape(bands, rows)]
+
+
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """SimHash of the lower-cased word shingles of a text; 0 if it has no word.
+
+    A bit is set if it is set in more than half of the shingle hashes, repeats included.
+    """
+    counts, last = np.zeros(64, np.int64), 0
+    for hashes in shingles(text, words, seed):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        last += len(hashes)
     return int(np.packbits(2 * counts > last, bitorder="little").view("<u8")[0])
 
 
@@ -196,13 +232,109 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest key.
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(key, version, shingles, bands) of every row of ``rows(key, version, text)``.
+
+    ``shingles`` is a digest of the shingle set, so rows with equal sets are equal in it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("version"),
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["key", "version", "shingles", "bands"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, version string, shingles binary, bands array<long>")
+
+
+def _members(rows: DataFrame, words: int) -> DataFrame:
+    """(shingles, members): the shingle set of every row of ``rows(shingles, text)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words).view(np.int64) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shingles"), pa.array(sets, pa.list_(pa.int64()))], ["shingles", "members"])
+
+    return rows.select("shingles", "text").mapInArrow(run, "shingles binary, members array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of shingle sets that share at least ``similarity`` of all their shingles."""
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    return both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b")
+
+
+def _copy_groups(rows: DataFrame, sketches: DataFrame, words: int, similarity: float, path: str) -> DataFrame:
+    """(node, component) of the shingle sets that are near copies of others.
+
+    Candidates agree in a band. First each is compared with the smallest set of its buckets; then
+    buckets whose sets are not all linked by that are compared pair by pair, across the parts that
+    are not linked. So a large group of near copies costs one comparison a member and band, and no
+    pair that could join two components is left out.
+    """
+    distinct = sketches.groupBy("shingles").agg(F.any_value("bands").alias("bands"))
+    banded = distinct.select("shingles", F.posexplode("bands").alias("band", "bucket"))
+    banded = store(banded, f"{path}/banded")
+    buckets = store(banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("shingles").alias("least"))
+                    .where("n > 1").drop("n"), f"{path}/buckets")
+    met = store(banded.join(buckets, ["band", "bucket"]), f"{path}/met")
+    # One text of each set that is in a bucket with others.
+    chosen = store(sketches.join(met.select("shingles").distinct(), "shingles", "left_semi").groupBy("shingles").agg(
+        F.min(F.struct("version", "key")).alias("at")).select("shingles", F.col("at.version").alias("_v"), F.col("at.key").alias("_k")),
+        f"{path}/chosen")
+    texts_of = rows.join(chosen, (F.col("version") == F.col("_v")) & F.col("key").eqNullSafe(F.col("_k")))
+    sets = store(_members(texts_of.dropDuplicates(["shingles"]), words), f"{path}/sets")
+    stars = met.where("shingles <> least").select(F.col("least").alias("a"), F.col("shingles").alias("b")).distinct()
+    links = store(_confirmed(stars, sets, similarity), f"{path}/stars")
+    first = components(links, f"{path}/first")
+    parts = store(met.join(first.toDF("shingles", "part"), "shingles", "left")
+                  .withColumn("part", F.coalesce("part", "shingles")), f"{path}/parts")
+    split = store(parts.groupBy("band", "bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                  .where("low <> high").select("band", "bucket"), f"{path}/split")
+    left = store(parts.join(split, ["band", "bucket"]).where("shingles <> least"), f"{path}/open")
+    right = left.select("band", "bucket", F.col("shingles").alias("b"), F.col("part").alias("part_b"))
+    pairs = left.join(right, ["band", "bucket"]).where("shingles < b AND part <> part_b").select(
+        F.col("shingles").alias("a"), "b").distinct()
+    more = store(_confirmed(pairs, sets, similarity), f"{path}/more")
+    return components(links.union(more), f"{path}/groups")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS,
+                similarity: float = SIMILARITY) -> DataFrame:
+    """(key, version, part) of every row: near copies, and what they reach, have one part.
+
+    Near copies share at least ``similarity`` of all their distinct shingles of ``words`` words,
+    counted exactly. Fingerprints of 64 bits cannot find them all: at 0.8 about 10 bits differ, and
+    a search that is exact for the 18 bits which the spread asks for needs 19 blocks of 3 bits. So
+    candidates agree in a band of MinHash values instead. ``version`` is a digest of the text.
+    Texts without words are copies of each other.
+    """
+    path = new_path(docs.sparkSession, "copies")
+    rows = docs.select(F.col(key).alias("key"), text_version(text).alias("version"), F.col(text).alias("text"))
+    sketches = store(_sketches(rows, words), f"{path}/sketches")
+    groups = _copy_groups(rows, sketches, words, similarity, path)
+    return sketches.join(groups.toDF("shingles", "part"), "shingles", "left").select(
+        "key", "version", F.coalesce("part", "shingles").alias("part"))
+
+
+def text_version(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS,
+                         similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest key, a null key last.
 
-    Rows with a null key cannot be named by a component and stay; rows that repeat a key are one
-    document.
+    Rows are told apart by key and text, so null and repeated keys are judged row by row; rows
+    that repeat both are one.
     """
-    judged = near_duplicates(docs, key, text)
-    dropped = judged.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    keyed = docs.where(F.col(key).isNotNull()).join(dropped, key, "left_anti").dropDuplicates([key])
-    return keyed.unionByName(docs.where(F.col(key).isNull()))
+    judged = near_copies(docs, key, text, words, similarity)
+    best = judged.groupBy("part").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "version")).alias("best"))
+    kept = store(best.select(F.col("best.key").alias("_k"), F.col("best.version").alias("_v")),
+                 new_path(docs.sparkSession, "kept"))
+    whole = docs.select(F.struct("*").alias("whole"), F.col(key).alias("key"), text_version(text).alias("version"))
+    found = whole.join(kept, (F.col("version") == F.col("_v")) & F.col("key").eqNullSafe(F.col("_k")), "left_semi")
+    return found.dropDuplicates(["key", "version"]).select("whole.*")

@@ -1,5 +1,7 @@
 """SimHash, line runs, graphs of embeddings and components."""
 from odd_tables import no_docs, odd_docs  # noqa: F401
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -82,6 +84,44 @@ def test_simhash_on_odd_and_empty_tables(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_copies_with_a_few_edits_are_dropped(spark):
+    rng = random.Random(11)
+    rows = []
+    for group in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((100 * group, " ".join(words)))
+        for copy in range(1, 4):  # each edit changes 5 of 196 shingles; 4 edits leave more than 0.8
+            edited = list(words)
+            for place in rng.sample(range(10, 190, 10), 4):
+                edited[place] = f"new{copy}x{place}"
+            rows.append((100 * group + copy, " ".join(edited)))
+        half = words[:100] + [f"other{i}" for i in range(100)]  # shares about a third
+        rows.append((100 * group + 50, " ".join(half)))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    sets = {i: set(simhash.shingle_set(t.encode()).tolist()) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = sorted(set(reach(sets, links).values()))
+    assert len(expected) == 40
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == expected
+
+
+def test_near_copies_that_only_meet_over_a_third_text_are_one_group(spark):
+    base = [f"w{i}" for i in range(400)]
+    chain = [base[40 * i:] + [f"t{j}" for j in range(40 * i)] for i in range(4)]  # neighbours share more than 0.8, ends do not
+    chain = [" ".join(words) for words in chain]
+    docs = spark.createDataFrame(list(zip((3, 1, 2, 4), chain)), "doc_id LONG, text STRING")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [1]
+
+
+def test_near_copies_with_null_and_repeated_keys_are_judged_row_by_row(spark):
+    rng = random.Random(12)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (None, three), (None, one), (None, two + " end")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, one), (2, two), (None, three)], key=str)
+
+
 def test_repeated_lines_stay_in_the_largest_document_only(odd_docs, no_docs):
     found = {r.doc_id: r for r in line_dedup.drop_repeated_lines(odd_docs).collect()}
     assert {i: found[i].n_dropped for i in range(20, 28)} == {**{i: 1 for i in range(20, 27)}, 27: 0}
