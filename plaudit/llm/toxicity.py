@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plaudit.llm import simhash
 from plaudit.llm.common import sample_labels, texts
 from plaudit.scratch import new_path, store
 
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str =
           sample: int = SAMPLE, min_texts: int = MIN_TEXTS, min_ratio: float = MIN_RATIO) -> Lexicon:
     """Learn terms, exception phrases and the score line from at most about ``sample`` labelled rows.
 
-    Copies count once: of texts that share the smallest hash of their long words, one is used.
+    Copies count once: of texts of one label that are near copies of each other once folded
+    (``simhash.near_copies``: shared shingles, counted exactly), the one with the smallest key is used.
     Terms need ``min_texts`` toxic texts and must be ``min_ratio`` times likelier there. Exception
     phrases are a term's word with the word before or after it that only clean texts hold,
     ``min_texts`` of them at least. Without both labels nothing matches and the score is the share
@@ -184,10 +186,21 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str =
     """
     chosen = sample_labels(labels, column, key, sample)
     known = docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text")).join(chosen, key)
-    long_words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 9)
-    known = known.withColumn("sketch", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text")))
-    known = known.groupBy("sketch", "label").agg(F.min_by("text", key).alias("text"))
-    known = store(known, f"{new_path(docs.sparkSession, 'toxic')}/sample")
+    path = new_path(docs.sparkSession, "toxic")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array([fold(t.decode()) for t in texts(batch)], pa.string()), batch.column("label")],
+                [key, "text", "label"])
+
+    known = store(known.select(key, "text", "label").mapInArrow(folded, f"`{key}` {kind}, text string, label int"), f"{path}/folded")
+    parts = simhash.near_copies(known, key).toDF("_key", "_version", "part")
+    known = known.withColumn("version", simhash.text_version("text")).join(
+        parts, (F.col(key) == F.col("_key")) & (F.col("version") == F.col("_version")))
+    known = known.groupBy("part", "label").agg(F.min_by("text", F.struct(key, "version")).alias("text"))
+    known = store(known, f"{path}/sample")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

@@ -168,6 +168,23 @@ def test_toxicity_is_right_on_held_out_rows(spark):
     assert sum(r.predicted == r.toxic for r in found) >= 0.98 * len(found) > 0
 
 
+def test_texts_that_share_one_long_word_are_not_copies(spark):
+    """Every text has the same only long word; texts differ otherwise, but each toxic one has a copy."""
+    rng = random.Random(8)
+
+    def text(extra):
+        return " ".join(["understanding", *extra, *("".join(rng.choices("abdeghkmnoprtu", k=6)) for _ in range(20))])
+
+    rows = [(i, text(["scumbag"]) if i % 4 == 0 else text([]), int(i % 4 == 0)) for i in range(80)]
+    rows += [(100 + i, t.upper(), label) for i, t, label in rows if label]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id LONG, toxic INT")
+    assert toxicity.fold(toxicity.fold("1d10t, Ünï")) == toxicity.fold("1d10t, Ünï")
+    lexicon = toxicity.train(docs, labels)
+    assert lexicon.matches(toxicity.fold("you scumbag"))
+    assert not toxicity.train(docs, labels, min_texts=21).weights  # copies count once: 20 toxic texts
+
+
 def test_toxicity_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (9, 0), (None, 1)], "doc_id LONG, toxic INT")
     for labelled in (labels, labels.limit(0)):
