@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from plaudit.llm.common import remainder, split_words, texts
 from plaudit.scratch import new_path, store
 
-# Longest piece in bytes: a piece is looked up as one packed number.
-MAX_PIECE = 8
+# A piece of up to 8 bytes is looked up as one packed number, a longer one by a hash that goes on
+# from its first 8 bytes with this factor, and its bytes are compared then.
+PACKED, FACTOR = 8, 0x9E3779B97F4A7C15
 
 # Passes in which the piece scores are fitted to the words of the corpus.
 PASSES = 2
@@ -34,62 +35,83 @@ END = b"\n"
 BLANK_END = 0.01
 
 
+def _piece_key(piece: bytes) -> int:
+    key = int.from_bytes(piece[:PACKED], "little")
+    for byte in piece[PACKED:]:
+        key = (key * FACTOR + byte) % (1 << 64)
+    return key
+
+
+def _fits(piece: bytes) -> bool:
+    """If a piece can stand in a word with one space before it."""
+    bare = piece.removeprefix(b" ")
+    return piece == b" " or (len(bare.split()) == 1 and bare == bare.strip())
+
+
 @dataclass
 class Pieces:
-    """Vocabulary pieces by length, as sorted packed bytes with their natural log scores."""
+    """Vocabulary pieces by length, as sorted keys with their bytes, and natural log scores."""
     keys: list[np.ndarray]
     ids: list[np.ndarray]
+    spelled: list[np.ndarray]
     scores: np.ndarray
     stop: float
 
     @staticmethod
-    def existing(ranks: dict[bytes, int], longest: int = MAX_PIECE) -> Pieces:
+    def existing(ranks: dict[bytes, int]) -> Pieces:
         """Pieces of an existing vocabulary. Until they are fitted, a score falls with the rank.
 
-        All single bytes must be in the vocabulary, so every word has a segmentation.
+        Left out are only entries with white space elsewhere than one space in front, which no
+        word holds. All single bytes must be in the vocabulary, so every word has a segmentation.
         """
-        tokens = sorted((t for t in ranks if len(t) <= longest and len(t.split()) == 1 and t == t.strip()), key=ranks.get)
-        keys, ids = [], []
-        for n in range(1, longest + 1):
-            own = sorted((int.from_bytes(t, "little"), i) for i, t in enumerate(tokens) if len(t) == n)
+        tokens = sorted(filter(_fits, ranks), key=ranks.get)
+        keys, ids, spelled = [], [], []
+        for n in range(1, max(map(len, tokens)) + 1):
+            own = sorted((_piece_key(t), i) for i, t in enumerate(tokens) if len(t) == n)
+            if len({k for k, _ in own}) < len(own):
+                raise ValueError("two pieces of the vocabulary have one key")
             keys.append(np.array([k for k, _ in own], np.uint64))
             ids.append(np.array([i for _, i in own], np.int64))
+            spelled.append(np.frombuffer(b"".join(tokens[i] for _, i in own), np.uint8).reshape(-1, n))
         weights = 1.0 / (10.0 + np.arange(len(tokens)))
-        return Pieces(keys, ids, np.log(0.8 * weights / weights.sum()), math.log(0.2))
+        return Pieces(keys, ids, spelled, np.log(0.8 * weights / weights.sum()), math.log(0.2))
 
     def with_counts(self, counts: np.ndarray, words: float) -> Pieces:
         """Scores after a pass: expected counts plus a small share for every piece."""
         smooth = counts + 0.01
         total = smooth.sum() + words
-        return Pieces(self.keys, self.ids, np.log(smooth / total), math.log(max(words, 1e-9) / total))
+        return Pieces(self.keys, self.ids, self.spelled, np.log(smooth / total), math.log(max(words, 1e-9) / total))
 
-    def found(self, words: np.ndarray) -> np.ndarray:
-        """Piece id, or -1, at [n - 1, word, start] for words of one length, one row of bytes each."""
+    def found(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(n, piece id or -1 at [word, start]) for words of one length; lengths that fit nowhere are left out."""
         count, length = words.shape
-        padded = np.zeros((count, length + len(self.keys)), np.uint64)
-        padded[:, :length] = words
-        out = np.full((min(len(self.keys), length), count, length), -1, np.int64)
+        out = []
         packed = np.zeros((count, length), np.uint64)
-        for n in range(1, out.shape[0] + 1):
-            packed = packed | padded[:, n - 1:n - 1 + length] << np.uint64(8 * (n - 1))
+        for n in range(1, min(len(self.keys), length) + 1):
+            own, last = packed[:, :length - n + 1], words[:, n - 1:]
+            packed = own | last << np.uint64(8 * (n - 1)) if n <= PACKED else own * np.uint64(FACTOR) + last
             keys = self.keys[n - 1]
             if not len(keys):
                 continue
-            own = packed[:, :length - n + 1]
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            out[n - 1, :, :length - n + 1] = np.where(keys[at] == own, self.ids[n - 1][at], -1)
+            at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
+            fits = keys[at] == packed
+            if n > PACKED:
+                row, start = np.nonzero(fits)
+                spelled = words[row[:, None], start[:, None] + np.arange(n)]
+                fits[row, start] = (spelled == self.spelled[n - 1][at[row, start]]).all(axis=1)
+            if fits.any():
+                out.append((n, np.where(fits, self.ids[n - 1][at], -1).astype(np.int32)))
         return out
 
-    def forward(self, words: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, words: np.ndarray, found: list | None = None) -> tuple[np.ndarray, list]:
         """Log-space forward recursion over all words of one length: alpha at every byte, and arc scores."""
         found = self.found(words) if found is None else found
         count, length = words.shape
-        arcs = np.where(found >= 0, self.scores[found], -np.inf)
+        arcs = [(n, np.where(ids >= 0, self.scores[ids], -np.inf)) for n, ids in found]
         alpha = np.full((length + 1, count), -np.inf)
         alpha[0] = 0.0
         for end in range(1, length + 1):
-            sizes = range(1, min(end, len(arcs)) + 1)
-            alpha[end] = np.logaddexp.reduce([alpha[end - n] + arcs[n - 1, :, end - n] for n in sizes], axis=0)
+            alpha[end] = np.logaddexp.reduce([alpha[end - n] + arc[:, end - n] for n, arc in arcs if n <= end], axis=0)
         return alpha, arcs
 
     def marginal(self, words: np.ndarray) -> np.ndarray:
@@ -105,16 +127,15 @@ class Pieces:
         beta[length] = 0.0
         totals = np.zeros(len(self.scores))
         for start in range(length - 1, -1, -1):
-            sizes = range(1, min(length - start, len(arcs)) + 1)
-            ways = np.stack([arcs[n - 1, :, start] + beta[start + n] for n in sizes])
+            ways = np.stack([arc[:, start] + beta[start + n] for n, arc in arcs if n <= length - start])
             beta[start] = np.logaddexp.reduce(ways, axis=0)
             share = np.exp(ways + alpha[start] - alpha[length])
-            ids = found[:len(ways), :, start]
+            ids = np.stack([ids[:, start] for n, ids in found if n <= length - start])
             totals += np.bincount(ids[ids >= 0], share[ids >= 0], len(totals))
         return totals
 
 
-def by_length(words: list[bytes], rows: int = 8192, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], rows: int = 8192, cells: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, bytes) of the words, those of one length together, at most ``rows`` at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
@@ -191,7 +212,7 @@ def fit_pieces(counts: DataFrame, pieces: list[Pieces], passes: int = PASSES) ->
             for batch in batches:
                 held, n = batch.column("word").to_pylist(), _matrix(batch.column("n"), np.int64)
                 for group, model in enumerate(shared.value):
-                    own = [held[i] for i in np.nonzero(n[:, group])[0]]
+                    own = [b" " + held[i] for i in np.nonzero(n[:, group])[0]]
                     totals[group, -1] += len(own)
                     for _, block in by_length(own):
                         totals[group, :-1] += model.expected(block)
@@ -240,7 +261,7 @@ def token_scores(words: list[bytes], n: np.ndarray, pieces: list[Pieces], totals
     end = np.fromiter((word == END for word in words), bool, len(words))
     subword = np.nonzero(~end)[0]
     logs = np.full((len(words), len(pieces)), math.log(BLANK_END))
-    for places, block in by_length([words[i] for i in subword]):
+    for places, block in by_length([b" " + words[i] for i in subword]):
         found = pieces[0].found(block)
         for k, model in enumerate(pieces):
             logs[subword[places], k] = model.forward(block, found)[0][-1] + model.stop + math.log1p(-BLANK_END)
@@ -324,8 +345,8 @@ def score_texts(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", t
     the classes of ``by`` (languages), weighted by their shares of the training rows, of the
     product of its tokens' chances in the class; the row's own class is not used. A token's chance
     is that of its whole word, discounted, as met in the class and anywhere in training, plus what
-    the discounts left times the sum over all segmentations of the word into pieces of the
-    vocabulary ``ranks``, whose scores were fitted to the training words of the class. Chances of
+    the discounts left times the sum over all segmentations of the word, with a space before it,
+    into pieces of the vocabulary ``ranks``, whose scores were fitted to the training words of the class. Chances of
     all tokens of a class add up to one.
 
     Learned from the rows whose crc32 of the key modulo ``divisor`` is not ``held``; a null key

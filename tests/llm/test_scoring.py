@@ -1,4 +1,5 @@
 """Language-model scores, quality rules, rankings and toxicity."""
+import dataclasses
 import math
 import random
 import zlib
@@ -28,6 +29,19 @@ def test_marginal_is_the_sum_over_all_segmentations():
         assert math.isclose(pieces.marginal(block)[0], math.log(ways(word)) + pieces.stop, rel_tol=1e-9)
 
 
+def test_segmentations_are_those_of_the_uncut_vocabulary():
+    """With all scores 0 the marginal is the logarithm of the number of segmentations."""
+    pieces = lattice.Pieces.existing(RANKS)
+    pieces = dataclasses.replace(pieces, scores=np.zeros(len(pieces.scores)))
+    for word in (b" the", b" international", b" responsibilities", " überraschung".encode()):
+        ways = [1] + [0] * len(word)
+        for end in range(1, len(word) + 1):
+            ways[end] = sum(ways[start] for start in range(end) if word[start:end] in RANKS)
+        block = np.frombuffer(word, np.uint8)[None].astype(np.uint64)
+        assert math.isclose(pieces.marginal(block)[0], math.log(ways[-1]) + pieces.stop, rel_tol=1e-9)
+    assert b" responsibilities" in RANKS and b" the" in RANKS
+
+
 def test_expected_uses_cover_every_byte():
     pieces = lattice.Pieces.existing(RANKS)
     block = np.frombuffer(b"nationnation", np.uint8).reshape(2, 6).astype(np.uint64)
