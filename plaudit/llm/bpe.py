@@ -23,6 +23,9 @@ BATCH_PIECES, GROUP_CHARS, STRETCH = 8192, 2_000_000, 200_000
 
 _NONE = np.iinfo(np.int32).max
 
+# A tree node packs a rank and a place below it. Any text that fits a string has fewer bytes than 2 ** 31.
+PLACE_BITS = 31
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank from a file of base64 tokens with their ranks."""
@@ -69,12 +72,12 @@ class Encoder:
         ids[~live] = -1
         following = np.where(place + 1 < lengths[:, None], place + 1, -1)
         before = np.broadcast_to(place - 1, (n, width)).copy()
-        tree = np.full((n, 2 * width), _NONE << 24, np.int64)
+        tree = np.full((n, 2 * width), _NONE << PLACE_BITS, np.int64)
         has_pair = following >= 0
         first = np.full((n, width), _NONE, np.int64)
         rows, at = np.nonzero(has_pair)
         first[rows, at] = self._pair_rank(ids[rows, at], ids[rows, at + 1])
-        tree[:, width:] = first << 24 | place
+        tree[:, width:] = first << PLACE_BITS | place
         level = width
         while level > 1:
             level //= 2
@@ -82,7 +85,7 @@ class Encoder:
 
         def put(rows: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
             node = at + width
-            tree[rows, node] = rank << 24 | at
+            tree[rows, node] = rank << PLACE_BITS | at
             while node.size and node[0] > 1:
                 node = node >> 1
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
@@ -90,11 +93,11 @@ class Encoder:
         active = np.arange(n)
         while True:
             best = tree[active, 1]
-            going = best >> 24 != _NONE
+            going = best >> PLACE_BITS != _NONE
             active, best = active[going], best[going]
             if not len(active):
                 break
-            at, rank = best & 0xFFFFFF, best >> 24
+            at, rank = best & (1 << PLACE_BITS) - 1, best >> PLACE_BITS
             gone = following[active, at]
             after = following[active, gone]
             ids[active, at], ids[active, gone] = rank, -1

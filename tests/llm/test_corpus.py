@@ -147,3 +147,9 @@ def test_pipeline_stages(spark, sf_dir):
         assert docs.count() == rows
         assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in docs.collect())
     assert corpus_pipeline.run(spark, sf_dir).count() == rows
+
+
+def test_places_of_the_longest_string_fit_into_a_node():
+    top = (1 << 31) - 1
+    node = bpe._NONE << bpe.PLACE_BITS | top
+    assert node < 1 << 63 and node >> bpe.PLACE_BITS == bpe._NONE and node & (1 << bpe.PLACE_BITS) - 1 == top
