@@ -20,6 +20,12 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(text.cast("binary")) % divisor
 
 
+def row_print(key: str, text: str) -> Column:
+    """Names a row by its key and text, also where the key is null or repeated."""
+    named = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(named, F.lit("\0"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
 def split_words(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text: bytes.split() cuts at exactly the six ASCII spaces."""
     return text.split()

@@ -83,7 +83,7 @@ class LineRuns:
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     # Rows are told apart by key and text, so a repeated key cannot mix up the lines of two texts.
-    # A null key counts as the smallest one.
+    # A null key counts as the smallest one. Repeated rows have one print, so their lines are a set.
     return docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY))).withColumn(
         "_print", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
@@ -102,8 +102,9 @@ def repeated_lines(
     """
     spark = docs.sparkSession
     path = new_path(spark, "lines")
-    lines = _marked(docs, key, text).select(
-        "_key", "_print", F.posexplode(split_lines(text)).alias("line", "text"))
+    rows = docs.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
+    lines = _marked(rows, "_of", "_text").select(
+        "_key", "_print", F.posexplode(split_lines("_text")).alias("line", "text"))
     lines = lines.where(F.char_length("text") >= min_chars).withColumn("text", line_key(F.col("text")))
     lines = lines.where(F.char_length("text") >= min_chars)
     met = store(lines.groupBy(F.unhex(F.md5("text")).alias("hash"), F.col("_key").alias("key")).agg(
@@ -125,22 +126,24 @@ def repeated_lines(
     often = store(store_runs.totals().where(F.col("docs") >= min_docs).select("hash"), f"{path}/often")
     places = repeats.join(often, "hash").select("key", F.inline("places"))
     return store(places.groupBy(F.col("key").alias("_key"), "_print").agg(
-        F.collect_list("line").alias("_drop")), f"{path}/drop")
+        F.collect_set("line").alias("_drop")), f"{path}/drop")
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     r"""``docs`` with the repeated lines taken out of ``text``, and with ``n_lines`` and ``n_dropped``.
 
     ``n_lines`` counts the lines before dropping. The lines that stay are joined by \n; a null
-    text becomes the empty text. Columns of ``docs`` of these two names are replaced.
+    text becomes the empty text. Keys are integers: rows with the same key count as one document,
+    and so do all rows without a key, which is the smallest. Every row, repeated ones too, loses
+    its own lines. Columns of ``docs`` of the two new names are replaced, all others are kept.
     """
     drops = repeated_lines(docs, key, text, **options)
-    joined = _marked(docs.drop("n_lines", "n_dropped"), key, text).join(drops, ["_key", "_print"], "left")
-    joined = joined.withColumns({"_lines": split_lines(text), "_drop": F.coalesce("_drop", F.array().cast("array<int>"))})
+    rows = _marked(docs.select(F.struct("*").alias("_row"), F.col(key).alias("_of"), F.col(text).alias("_text")), "_of", "_text")
+    joined = rows.join(drops, ["_key", "_print"], "left").withColumns({
+        "_lines": split_lines("_text"), "_drop": F.coalesce("_drop", F.array().cast("array<int>"))})
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     rest = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return joined.withColumns({
-        text: F.when(F.size("_drop") == 0, whole).otherwise(rest),
-        "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drop").cast("long"),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    whole = F.when(F.size("_drop") == 0, F.coalesce("_text", F.lit(""))).otherwise(rest)
+    columns = [whole.alias(c) if c == text else F.col("_row").getField(c).alias(c)
+               for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaudit.llm.common import SPACE_CLASS
+from plaudit.llm.common import SPACE_CLASS, row_print
 from plaudit.operators.numbering import dense_index
 from plaudit.scratch import new_path, store
 
@@ -65,10 +65,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     reached; the document at the edge is taken if that comes nearer. The order is found in two
     steps, so no source meets in one task: sizes of hash buckets first, then the documents of the
     one bucket at the edge. Null is a source of its own; documents without words take nothing.
+    The hash is of key and text, so rows with null or repeated keys are spread like others, and
+    rows that repeat both can stand for each other: reruns agree.
     """
     path = new_path(docs.sparkSession, "mix")
-    sized = store(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
-                  .withColumn("hash", F.xxhash64(F.lit(seed), F.col("key").cast("string"))), f"{path}/sized")
+    sized = store(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
+                          F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)).alias("hash")), f"{path}/sized")
     bucket = F.pmod("hash", F.lit(BUCKETS))
     sums = store(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), f"{path}/buckets")
     sources = store(sums.groupBy("source").agg(F.sum("size").alias("size")), f"{path}/sources")
@@ -100,13 +102,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` repeated as often as the mix takes them; documents that it does not take are left out.
 
-    Rows that repeat a key are mixed as one document, the first of them by all columns. Rows
-    without a key cannot be named and are left out.
+    Rows are mixed one by one, named by key and text, so null and repeated keys lose nothing;
+    rows that repeat both, and differ in other columns alone, come as the first of them. Other
+    columns stay as they are, whatever their names.
     """
-    docs = docs.where(F.col(key).isNotNull()).dropDuplicates([key])
-    taken = mix(docs, key, **options).where("copies > 0").select(key, "copies")
-    repeated = docs.join(taken, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.drop("copies", "_copy")
+    whole = docs.select(F.struct("*").alias("whole"), row_print(key, text).alias("print"), F.col(text).alias("text"), F.col(source).alias("source"))
+    taken = mix(whole, "print", "text", "source", **options).groupBy("print").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    first = whole.groupBy("print").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+    return first.join(taken, "print").select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("whole.*")

@@ -10,9 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.llm.common import split_words, texts
+from plaudit.llm.common import row_print, split_words, texts
 from plaudit.llm.components import components, forest
-from plaudit.scratch import new_path, store
+from plaudit.scratch import new_path, release, store
 
 # Words per shingle, differing bits that still link, and the seed of the shingle hash.
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -84,11 +84,11 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> in
     return int(np.packbits(2 * counts > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(key, fp): the fingerprint of every text as a signed long. A null text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
+            prints = np.array([fingerprint(t, words) for t in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(prints)], ["key", "fp"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -324,17 +324,24 @@ def text_version(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS,
-                         similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest key, a null key last.
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+                         radius: int = RADIUS) -> DataFrame:
+    """One row of each group of texts whose SimHash fingerprints are linked: the smallest key, a null key last.
 
-    Rows are told apart by key and text, so null and repeated keys are judged row by row; rows
-    that repeat both are one.
+    Links are those of ``near_duplicates``. Rows are told apart by key and text, so null and
+    repeated keys are judged row by row; rows that repeat both are one. Texts without words are
+    one group. Other columns stay as they are, whatever their names.
     """
-    judged = near_copies(docs, key, text, words, similarity)
-    best = judged.groupBy("part").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "version")).alias("best"))
-    kept = store(best.select(F.col("best.key").alias("_k"), F.col("best.version").alias("_v")),
-                 new_path(docs.sparkSession, "kept"))
-    whole = docs.select(F.struct("*").alias("whole"), F.col(key).alias("key"), text_version(text).alias("version"))
-    found = whole.join(kept, (F.col("version") == F.col("_v")) & F.col("key").eqNullSafe(F.col("_k")), "left_semi")
-    return found.dropDuplicates(["key", "version"]).select("whole.*")
+    spark = docs.sparkSession
+    path = new_path(spark, "simhash")
+    named = docs.select(F.struct(F.isnull(F.col(key)).alias("none"), F.col(key).alias("key"), row_print(key, text).alias("print")).alias("row"),
+                        F.col(text).alias("text"))
+    prints = store(fingerprints(named, "row", "text", words), f"{path}/prints")
+    distinct = store(prints.groupBy("fp").agg(F.min("row").alias("row")), f"{path}/distinct")
+    found = components(near_links(distinct.select("fp"), path, radius, max(BLOCKS, radius + 3)), f"{path}/components")
+    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    kept = store(roots.groupBy("root").agg(F.min("row").alias("row")).select("row.print"), new_path(spark, "kept"))
+    release(spark, path)
+    # One column names a row in the join and among its repeats, so the texts are shuffled once.
+    whole = docs.select(F.struct("*").alias("whole"), row_print(key, text).alias("print"))
+    return whole.join(kept, "print", "left_semi").dropDuplicates(["print"]).select("whole.*")

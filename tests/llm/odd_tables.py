@@ -3,7 +3,9 @@ import pytest
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 
 # Columns that the operators use inside, as names of further columns.
-CLASHING = ("key", "hash", "word", "n", "size", "label", "score", "component", "node", "row", "taken", "stack", "th", "_key2")
+CLASHING = ("key", "hash", "word", "n", "size", "label", "score", "component", "node", "row", "taken", "stack", "th", "_key2",
+            "_drop", "_key", "_print", "_lines", "_row", "_of", "_text", "copies", "_copy", "part", "version", "edge", "before",
+            "whole", "print", "fp", "bucket", "run", "id", "digest", "newest", "page", "fails", "first", "good")
 
 
 def paragraph(seed: int, words: int = 60) -> str:

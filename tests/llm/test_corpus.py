@@ -85,6 +85,16 @@ def test_mixing_on_odd_and_empty_tables(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mixing_loses_no_row_without_key_or_with_a_repeated_one(spark):
+    rows = [(1, "w " * 10, "a"), (1, "v " * 30, "a"), (None, "u " * 20, "a"), (None, "t " * 20, "a"), (5, "s " * 9, "a"), (5, "s " * 9, "a")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").selectExpr("*", "'x' AS copies", "'y' AS _copy")
+    mixed = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    # One source, a half more than its words: every row once at least, some twice.
+    assert {r[:3] for r in mixed} == set(rows) and all(r[3:] == ("x", "y") for r in mixed)
+    assert abs(sum(len(r[1].split()) for r in mixed) - 1.5 * 98) <= 15
+    assert sorted(mixed, key=str) == sorted((tuple(r) for r in mixing.mixed_documents(docs.repartition(3)).collect()), key=str)
+
+
 def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
 
@@ -149,6 +159,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == rows
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
+    rows = [(1, "plain words in a row " * 9, "en", "a", 9), (1, "other words that go on here " * 9, "en", "a", 9),
+            (None, "no key but a text of its own " * 9, "en", None, 9), (None, "a second one without a key " * 9, None, "a", 9)]
+    keyless = spark.createDataFrame(rows, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    for name, docs in (("odd", odd_docs), ("none", no_docs), ("keyless", keyless)):
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            with scratch(spark, "test") as path:
+                stage(spark, docs, sf_dir).write.parquet(f"{path}/{number}")
+                found = spark.read.parquet(f"{path}/{number}")
+                assert number == 4 or found.columns == columns
+                if name == "none":
+                    assert found.count() == 0
+                if name == "keyless" and number in (1, 2):
+                    assert found.count() == 4
+                if name == "odd" and number == 1:
+                    assert found.count() == docs.count()
+
+
 def test_places_of_the_longest_string_fit_into_a_node():
     top = (1 << 31) - 1
     node = bpe._NONE << bpe.PLACE_BITS | top

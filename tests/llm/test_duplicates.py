@@ -84,7 +84,7 @@ def test_simhash_on_odd_and_empty_tables(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
-def test_near_copies_with_a_few_edits_are_dropped(spark):
+def test_near_copies_with_a_few_edits_are_found(spark):
     rng = random.Random(11)
     rows = []
     for group in range(20):
@@ -102,7 +102,10 @@ def test_near_copies_with_a_few_edits_are_dropped(spark):
     links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     expected = sorted(set(reach(sets, links).values()))
     assert len(expected) == 40
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == expected
+    parts = {}
+    for row in simhash.near_copies(docs).collect():
+        parts.setdefault(row.part, []).append(row.key)
+    assert sorted(map(min, parts.values())) == expected
 
 
 def test_near_copies_that_only_meet_over_a_third_text_are_one_group(spark):
@@ -110,16 +113,34 @@ def test_near_copies_that_only_meet_over_a_third_text_are_one_group(spark):
     chain = [base[40 * i:] + [f"t{j}" for j in range(40 * i)] for i in range(4)]  # neighbours share more than 0.8, ends do not
     chain = [" ".join(words) for words in chain]
     docs = spark.createDataFrame(list(zip((3, 1, 2, 4), chain)), "doc_id LONG, text STRING")
-    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [1]
+    assert len({r.part for r in simhash.near_copies(docs).collect()}) == 1
+
+
+def test_one_document_of_each_simhash_component_stays(spark):
+    rng = random.Random(13)
+    rows = []
+    for group in range(30):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 60, 900]))]
+        for copy in range(6):
+            edited = list(words)
+            for place in rng.sample(range(len(words)), copy % 3):
+                edited[place] = f"x{rng.randrange(9)}"
+            rows.append((group * 10 + copy, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    links = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 3]
+    expected = sorted(set(reach(prints, links).values()))
+    assert 30 < len(expected) < len(rows) - 30
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == expected
 
 
 def test_near_copies_with_null_and_repeated_keys_are_judged_row_by_row(spark):
     rng = random.Random(12)
     one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(3))
-    rows = [(1, one), (2, one), (2, two), (None, three), (None, one), (None, two + " end")]
+    rows = [(1, one), (2, one), (2, two), (2, two), (None, three), (None, one), (None, two), (7, ""), (8, None)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
     found = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
-    assert sorted(found, key=str) == sorted([(1, one), (2, two), (None, three)], key=str)
+    assert sorted(found, key=str) == sorted([(1, one), (2, two), (None, three), (7, "")], key=str)
 
 
 def test_repeated_lines_stay_in_the_largest_document_only(odd_docs, no_docs):
@@ -130,6 +151,17 @@ def test_repeated_lines_stay_in_the_largest_document_only(odd_docs, no_docs):
     assert line_dedup.drop_repeated_lines(no_docs).count() == 0
 
 
+def test_repeated_rows_lose_their_own_lines_once(spark):
+    line = "This line is long enough to be found in every one of them."
+    rows = [(i, f"{line}\nown {i}\n {line.upper()}") for i in range(6)] + [(0, f"{line}\nown 0\n {line.upper()}"), (None, line), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").selectExpr("*", "'x' AS _drop", "'y' AS _key", "'z' AS n_lines")
+    found = line_dedup.drop_repeated_lines(docs).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in found if r.doc_id is not None) == sorted(
+        [(0, 3, 2)] * 2 + [(i, 3, 2) for i in range(1, 5)] + [(5, 3, 0)])
+    assert [(r.text, r.n_dropped) for r in found if r.doc_id is None] == [("", 1)] * 2
+    assert all((r._drop, r._key) == ("x", "y") for r in found)
+
+
 def test_line_runs_are_compacted_and_answers_do_not_depend_on_batches(spark, odd_docs):
     expected = None
     for batches, fan_in in ((1, 2), (3, 2), (7, 3)):
