@@ -16,24 +16,30 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise quality model, learned from the labels, accepts."""
+    """Documents that the pairwise quality model, learned from the labels, accepts.
+
+    Every row is scored by its own text, whatever its key; a null text counts as empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 5) != 0)
     return ranking.keep_good(docs, ranking.train(docs, labels))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat across them; ``n_chars`` follows the text."""
+    """All documents, without the lines that repeat across them; ``n_chars`` follows the text.
+
+    A null text becomes the empty text; rows without a key count as one document.
+    """
     kept = line_dedup.drop_repeated_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of all 5-word shingles shared."""
-    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+    """One document of each group whose SimHash fingerprints of 3-word shingles link at 3 or fewer bits."""
+    return simhash.drop_near_duplicates(docs, words=3, radius=3)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents, row by row, as often as the mix of sources takes them."""
     return mixing.mixed_documents(docs)
 
 
