@@ -1,112 +1,220 @@
-"""Topic models of the positive and the negative reviews."""
+"""Topic models of the positive and the negative reviews, with the topic-term weights as a table."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, functions as F
 
+from plaudit.functions import tokens as tok
+from plaudit.operators.words import rank_by_count
+from plaudit.scratch import new_path, release, store
+
 # Topics, words shown per topic and sweeps over the corpus.
 TOPICS, TOPIC_WORDS, SWEEPS = 5, 5, 20
 
-# How fast old batches are forgotten (Spark wants a decay above one half).
-LEARNING_OFFSET, LEARNING_DECAY = 1.0, 0.51
+# Words of the documents that make up one block, about: what one task holds at a time.
+BLOCK_WORDS = 200_000
+
+# Most rounds for the topic shares of the documents of a block, and the mean change that ends them.
+ROUNDS, CHANGE = 50, 1e-3
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of the log gamma function for positive numbers: six steps up, then the series."""
+    high = x + 6.0
+    square = 1.0 / (high * high)
+    series = square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square * (1 / 240 - square / 132))))
+    return np.log(high) - 0.5 / high - series - sum(1.0 / (x + i) for i in range(6))
+
 
-# Partitions of the term counts for each core: every one of them returns a dense topics x terms
-# matrix per sweep, so their number must not follow the token table's.
-PARTITIONS_PER_CORE = 2
+def trigamma(x: np.ndarray) -> np.ndarray:
+    high = x + 6.0
+    square = 1.0 / (high * high)
+    series = (1 + square * (1 / 6 - square * (1 / 30 - square * (1 / 42 - square / 30)))) / high + 0.5 * square
+    return series + sum(1.0 / (x + i) ** 2 for i in range(6))
 
 
 @dataclass
 class TopicModel:
-    model: LDAModel
-    vocabulary: list[str]
-
-    def weights(self, words: int | None = None) -> DataFrame:
-        """(topic, rank, term_index, weight): the heaviest terms, or all, of each topic."""
-        shown = self.model.describeTopics(words or len(self.vocabulary))
-        ranked = shown.select("topic", F.posexplode(
-            F.arrays_zip("termIndices", "termWeights")).alias("rank", "_w"))
-        return ranked.select("topic", (F.col("rank") + 1).alias("rank"),
-                             F.col("_w.termIndices").alias("term_index"),
-                             F.col("_w.termWeights").alias("weight"))
-
-    def topics(self, words: int | None = None) -> DataFrame:
-        """(topic, rank, term, weight): the same with the terms themselves."""
-        listed = self.weights(words)
-        shown = range(len(self.vocabulary)) if words is None else sorted(
-            {row["term_index"] for row in listed.select("term_index").collect()})
-        names = listed.sparkSession.createDataFrame(pa.table({
-            "term_index": pa.array(shown, pa.int32()),
-            "term": pa.array([self.vocabulary[i] for i in shown], pa.string())}))
-        return listed.join(names, "term_index").select("topic", "rank", "term", "weight")
-
-    def document_prior(self) -> list[float]:
-        """The learned prior weight of each topic."""
-        return [float(a) for a in self.model.estimatedDocConcentration().toArray()]
+    """``table(class, term, w0, w1, ...)``: the variational weight of every term in every topic.
+
+    Only one number a class and topic is on the driver: the sum of the weights and the document
+    prior. ``documents`` has, for each sweep, the number of documents of each class that it saw.
+    """
+    by: str
+    k: int
+    table: DataFrame
+    totals: dict[str, np.ndarray]
+    priors: dict[str, np.ndarray]
+    documents: list[dict[str, int]] = field(default_factory=list)
+
+    def weights(self) -> DataFrame:
+        """(class, topic, term, weight): the share of every term in every topic of its class."""
+        share = F.lit(None).cast("array<double>")
+        for name, totals in self.totals.items():
+            share = F.when(F.col(self.by) == name, F.array(*[F.col(f"w{i}") / F.lit(float(t)) for i, t in enumerate(totals)])).otherwise(share)
+        return self.table.select(self.by, "term", F.posexplode(share).alias("topic", "weight")).select(
+            self.by, "topic", "term", "weight")
+
+    def topics(self, words: int) -> DataFrame:
+        """(class, topic, rank, term, weight): the heaviest terms of each topic; ties go by term.
+
+        Ranked in hash buckets of the terms first, so no task sees a whole vocabulary.
+        """
+        ranked = rank_by_count(self.weights().withColumnRenamed("weight", "n"), "term", words, self.by, "topic")
+        return ranked.select(self.by, "topic", "rank", "term", F.col("n").alias("weight"))
+
+    def document_priors(self) -> DataFrame:
+        """(class, topic, doc_prior): the learned prior weight of each topic."""
+        rows = [(name, i, float(a)) for name, prior in self.priors.items() for i, a in enumerate(prior)]
+        return self.table.sparkSession.createDataFrame(rows, f"`{self.by}` STRING, topic INT, doc_prior DOUBLE")
+
+
+def _blocks(docs: DataFrame, tokens: str, by: str, block_words: int) -> DataFrame:
+    """(class, block, doc, place, n, terms): documents dealt into blocks by hash, as packed arrays.
+
+    ``terms`` are the distinct terms of a block; the other three have one entry for each document
+    and term. A document without words has nothing to learn from and is in no block.
+    """
+    total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
+    dealt = docs.select(by, F.pmod(F.xxhash64(tokens), F.lit(-(-total // block_words) or 1)).alias("block"),
+                        tok.bag(F.col(tokens)).alias("bag")).where("size(bag) > 0")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        bags = rows.column("bag").chunk(0)
+        entries = bags.flatten()
+        named = entries.field("term").dictionary_encode()
+        sizes = np.diff(bags.offsets.to_numpy())
+        doc = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
+        packed = [doc, named.indices.to_numpy().astype(np.int32), entries.field("n").to_numpy().astype(np.int32)]
+        return pa.table({
+            by: rows.column(by).slice(0, 1), "block": rows.column("block").slice(0, 1),
+            **{name: pa.array([a.tobytes()], pa.binary()) for name, a in zip(("doc", "place", "n"), packed)},
+            "terms": pa.array([named.dictionary.to_pylist()], pa.list_(pa.string()))})
+
+    return dealt.groupBy(by, "block").applyInArrow(
+        pack, f"`{by}` string, block long, doc binary, place binary, n binary, terms array<string>")
+
+
+def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarray, prior: np.ndarray):
+    """Topic shares of the documents of a block under fixed term weights.
+
+    ``doc`` rises; ``weights`` are exp(E[log beta]) of the block's terms. Returns the expected
+    uses of each term in each topic, and the sum over the documents of E[log theta].
+    """
+    starts = np.nonzero(np.diff(doc, prepend=-1))[0]
+    own = weights[place]
+    gamma = prior + np.add.reduceat(n, starts)[:, None] / len(prior)
+    for _ in range(ROUNDS):
+        log_theta = digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))
+        theta = np.exp(log_theta)
+        ratio = n / ((theta[doc] * own).sum(axis=1) + 1e-100)
+        new = prior + theta * np.add.reduceat(ratio[:, None] * own, starts, axis=0)
+        change = np.abs(new - gamma).mean()
+        gamma = new
+        if change < CHANGE:
+            break
+    log_theta = digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))
+    share = np.exp(log_theta)[doc] * own
+    share *= (n / (share.sum(axis=1) + 1e-100))[:, None]
+    uses = np.stack([np.bincount(place, column, len(weights)) for column in share.T], axis=1)
+    return uses, log_theta.sum(axis=0), len(starts)
+
+
+def new_prior(prior: np.ndarray, mean_log: np.ndarray, documents: int) -> np.ndarray:
+    """A Newton step of the asymmetric prior towards the mean of E[log theta], shortened until all are positive."""
+    gradient = documents * (digamma(prior.sum()) - digamma(prior) + mean_log)
+    curve = -documents * trigamma(prior)
+    shared = (gradient / curve).sum() / (1.0 / (documents * trigamma(prior.sum())) + (1.0 / curve).sum())
+    step = -(gradient - shared) / curve
+    while np.any(prior + step <= 1e-3 * prior):
+        step = step / 2
+    return prior + step
 
 
 def fit_topics(
-    docs: DataFrame, tokens: str = "tokens", k: int = TOPICS, sweeps: int = SWEEPS, seed: int = 7,
+    docs: DataFrame, tokens: str = "tokens", by: str = "polarity", classes: Sequence[str] = ("pos", "neg"),
+    k: int = TOPICS, sweeps: int = SWEEPS, seed: int = 7, block_words: int = BLOCK_WORDS,
 ) -> TopicModel:
-    """LDA with a learned, asymmetric document prior over the whole vocabulary.
-
-    Each sweep is one batch as large as the corpus, drawn from it with replacement by Spark's
-    online optimizer: a document may be left out of one sweep and be in the next. Pass stored
-    tokens. The vocabulary's size is counted first, so no term is cut.
+    """Latent topics of each class by variational sweeps over all documents, with a learned document prior.
+
+    The weights of terms in topics are a stored table. In a sweep the blocks of documents get the
+    rows of their own terms by a join, find the topic shares of every document in turn, and give
+    out the expected uses of their terms, which are added up by term: no task and not the driver
+    holds all terms. Every document is in every sweep. A sweep is written before the next, so a
+    lost executor repeats one sweep at most; the table before it is deleted. Pass stored tokens.
+    Rows of other classes and rows without words take no part; a class without words has no topic.
     """
-    terms = docs.select(F.explode_outer(tokens).alias("term")).where("term IS NOT NULL").distinct().count()
-    counter = CountVectorizer(
-        inputCol=tokens, outputCol="features", vocabSize=max(1, terms), minDF=1.0)
-    counted = counter.fit(docs)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    features = (counted.transform(docs).select("features").repartition(PARTITIONS_PER_CORE * cores)
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        lda = LDA(k=k, maxIter=sweeps, seed=seed, optimizer="online", subsamplingRate=1.0,
-                  learningOffset=LEARNING_OFFSET, learningDecay=LEARNING_DECAY,
-                  optimizeDocConcentration=True, featuresCol="features")
-        return TopicModel(lda.fit(features), counted.vocabulary)
-    finally:
-        features.unpersist()
-
-
-def lda_topics(docs: DataFrame, by: str = "polarity", classes=("pos", "neg"), **options) -> dict:
-    """A model of its own for each class of documents, fitted side by side."""
-    def fit(name: str) -> TopicModel:
-        return fit_topics(docs.where(F.col(by) == name), **options)
-
-    with ThreadPool(len(classes)) as pool:
-        fitted = pool.map(inheritable_thread_target(docs.sparkSession)(fit), classes)
-    return dict(zip(classes, fitted))
-
-
-def topic_words(models: dict, words: int = TOPIC_WORDS) -> DataFrame:
-    """The heaviest words of every topic of every model."""
-    return _labelled({c: m.topics(words) for c, m in models.items()})
-
-
-def topic_summary(models: dict) -> DataFrame:
-    """Per topic: its learned document prior, its number of terms and the sum of their weights."""
-    def summary(model: TopicModel) -> DataFrame:
-        whole = model.weights()
-        prior = whole.sparkSession.createDataFrame(
-            list(enumerate(model.document_prior())), "topic INT, doc_prior DOUBLE")
-        sums = whole.groupBy("topic").agg(
-            F.count("*").alias("n_terms"), F.min("weight").alias("min_weight"),
-            F.round(F.sum("weight"), 6).alias("total_weight"))
-        return sums.join(prior, "topic")
-    return _labelled({c: summary(m) for c, m in models.items()})
-
-
-def _labelled(frames: dict[str, DataFrame]) -> DataFrame:
-    labelled = [df.select(F.lit(c).alias("polarity"), "*") for c, df in frames.items()]
-    out = labelled[0]
-    for df in labelled[1:]:
-        out = out.union(df)
-    return out
+    spark = docs.sparkSession
+    path = new_path(spark, "topics")
+    blocks = store(_blocks(docs.where(F.col(by).isin(list(classes))), tokens, by, block_words), f"{path}/blocks")
+    asked = store(blocks.select(by, "block", F.posexplode("terms").alias("place", "term")), f"{path}/asked")
+    names = [f"w{i}" for i in range(k)]
+    prior_weight = 1.0 / k
+    # Hashes of term and topic give every topic its own start.
+    start = [(F.lit(prior_weight) + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(name)
+             for i, name in enumerate(names)]
+    model = TopicModel(by, k, store(asked.select(by, "term").distinct().select(by, "term", *start), f"{path}/sweep-0"), {}, {})
+    model.totals = _totals(model.table, by, names)
+    model.priors = {name: np.full(k, 1.0 / k) for name in model.totals}
+    schema = f"`{by}` string, term string, " + ", ".join(f"{n} double" for n in names) + ", documents long"
+
+    for sweep in range(1, sweeps + 1):
+        totals, priors = model.totals, model.priors
+
+        def run(rows: pa.Table, terms: pa.Table) -> pa.Table:
+            name = rows.column(by)[0].as_py()
+            doc, place, n = (np.frombuffer(rows.column(c)[0].as_py(), np.int32) for c in ("doc", "place", "n"))
+            order = np.argsort(terms.column("place").to_numpy())
+            weights = np.stack([terms.column(c).to_numpy() for c in names], axis=1)[order]
+            uses, logs, documents = expect(
+                doc, place, n.astype(float), np.exp(digamma(weights) - digamma(totals[name])), priors[name])
+            return pa.table({
+                by: pa.array([name] * (len(uses) + 1), pa.string()),
+                "term": pa.concat_arrays([terms.column("term").combine_chunks().take(pa.array(order)), pa.nulls(1, pa.string())]),
+                **{c: np.append(uses[:, i], logs[i]) for i, c in enumerate(names)},
+                "documents": pa.array([0] * len(uses) + [documents], pa.int64())})
+
+        given = asked.join(model.table.select(by, "term", *names), [by, "term"])
+        met = blocks.drop("terms").groupBy(by, "block").cogroup(given.groupBy(by, "block")).applyInArrow(run, schema)
+        # The row without a term carries the sums over the documents.
+        summed = store(met.groupBy(by, "term").agg(
+            *[(F.sum(c) + F.when(F.col("term").isNotNull(), prior_weight).otherwise(0.0)).alias(c) for c in names],
+            F.sum("documents").alias("documents")), f"{path}/sweep-{sweep}")
+        model.table = summed.where("term IS NOT NULL").drop("documents")
+        model.totals = _totals(model.table, by, names)
+        over = {r[by]: r for r in summed.where("term IS NULL").collect()}
+        model.documents.append({name: r["documents"] for name, r in over.items()})
+        model.priors = {name: new_prior(priors[name], np.array([r[c] for c in names]) / r["documents"], r["documents"])
+                        for name, r in over.items()}
+        release(spark, f"{path}/sweep-{sweep - 1}")
+    release(spark, f"{path}/blocks", f"{path}/asked")
+    return model
+
+
+def _totals(table: DataFrame, by: str, names: Sequence[str]) -> dict[str, np.ndarray]:
+    sums = table.groupBy(by).agg(*[F.sum(c).alias(c) for c in names]).collect()
+    return {r[by]: np.array([r[c] for c in names]) for r in sums}
+
+
+def lda_topics(docs: DataFrame, by: str = "polarity", classes: Sequence[str] = ("pos", "neg"), **options) -> TopicModel:
+    """Topics of each class of documents, all classes in the same sweeps."""
+    return fit_topics(docs, by=by, classes=classes, **options)
+
+
+def topic_words(model: TopicModel, words: int = TOPIC_WORDS) -> DataFrame:
+    """The heaviest words of every topic of every class."""
+    return model.topics(words)
+
+
+def topic_summary(model: TopicModel) -> DataFrame:
+    """Per class and topic: its learned document prior, its number of terms and the sum of their weights."""
+    sums = model.weights().groupBy(model.by, "topic").agg(
+        F.count("*").alias("n_terms"), F.min("weight").alias("min_weight"),
+        F.round(F.sum("weight"), 6).alias("total_weight"))
+    return sums.join(model.document_priors(), [model.by, "topic"])

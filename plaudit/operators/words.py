@@ -50,7 +50,7 @@ def _exploded(df: DataFrame, values: Column, name: str, *kept: str) -> DataFrame
     return (df.select(*kept, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull()))
 
 
-def _rank_by_count(counts: DataFrame, word: str, k: int, *by: str) -> DataFrame:
+def rank_by_count(counts: DataFrame, word: str, k: int, *by: str) -> DataFrame:
     # The k first of every (class, hash bucket), then of those: no task sees a class's whole
     # vocabulary, whatever k is, and the plan is the same for every k.
     first = [F.desc("n"), F.col(word)]
@@ -67,7 +67,7 @@ def word_frequency(
     words = _exploded(polarity_split(reviews), tok.without_stop_words(
         tok.alphabetic_words("review"), stop_words), "word", "polarity")
     counts = words.groupBy("polarity", "word").agg(F.count("*").alias("n"))
-    return _rank_by_count(counts, "word", k, "polarity")
+    return rank_by_count(counts, "word", k, "polarity")
 
 
 def cloud_weights(
@@ -77,7 +77,7 @@ def cloud_weights(
     words = _exploded(polarity_split(reviews), tok.without_stop_words(
         tok.words("review"), stop_words), "word", "polarity")
     counts = words.groupBy("polarity", "word").agg(F.count("*").alias("n"))
-    top = _rank_by_count(counts, "word", k, "polarity")
+    top = rank_by_count(counts, "word", k, "polarity")
     largest = F.max("n").over(Window.partitionBy("polarity"))
     return top.select("polarity", "word", "n", F.round(F.col("n") / largest, 9).alias("weight"))
 

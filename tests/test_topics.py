@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from plaudit.operators import topics
@@ -25,11 +27,15 @@ def models(docs):
 
 
 def test_planted_topics_are_found(models):
-    for model in models.values():
-        found = {}
-        for r in model.topics(5).collect():
-            found.setdefault(r.topic, set()).add(r.term)
-        assert sorted(map(sorted, found.values())) == sorted(map(sorted, THEMES.values()))
+    found = {}
+    for r in models.topics(5).collect():
+        found.setdefault((r.polarity, r.topic), set()).add(r.term)
+    for polarity in ("pos", "neg"):
+        assert sorted(sorted(v) for k, v in found.items() if k[0] == polarity) == sorted(map(sorted, THEMES.values()))
+
+
+def test_every_document_is_in_every_sweep(models):
+    assert models.documents == [{"pos": 120, "neg": 120}] * 20
 
 
 def test_topic_words_shape(models):
@@ -50,7 +56,55 @@ def test_each_topic_is_a_distribution_over_the_whole_vocabulary(models):
                and r.doc_prior > 0 for r in rows)
 
 
-def test_the_whole_vocabulary_is_used_and_only_shown_words_are_named(docs):
-    model = topics.fit_topics(docs, sweeps=2)
-    assert len(model.vocabulary) == len({t for r in docs.collect() for t in r.tokens})
-    assert model.topics(2).count() == 2 * topics.TOPICS
+def test_blocks_change_nothing(docs):
+    whole, cut = (topics.lda_topics(docs, k=2, sweeps=3, block_words=words) for words in (10**9, 500))
+    rows = [{(r.polarity, r.topic, r.term): r.weight for r in m.weights().collect()} for m in (whole, cut)]
+    # Rounds end by the mean change of a block, so the last digits may differ.
+    assert rows[0].keys() == rows[1].keys() and all(rows[0][k] == pytest.approx(rows[1][k], abs=5e-3) for k in rows[0])
+
+
+def test_a_block_agrees_with_documents_one_by_one():
+    rng = np.random.default_rng(4)
+    weights, prior = np.exp(topics.digamma(rng.gamma(2, 1, (6, 3))) - topics.digamma(np.full(3, 9.0))), np.array([0.3, 0.1, 0.6])
+    counts = rng.integers(0, 4, (5, 6))
+    counts[:, 0] += 1
+    doc, place = np.nonzero(counts)
+    uses, logs, documents = topics.expect(doc, place, counts[doc, place].astype(float), weights, prior)
+    assert documents == 5 and uses.sum() == pytest.approx(counts.sum())
+    total, log_sum = np.zeros((6, 3)), np.zeros(3)
+    for row in counts:
+        gamma = prior + row.sum() / 3
+        for _ in range(300):
+            theta = np.exp(topics.digamma(gamma) - topics.digamma(gamma.sum()))
+            share = weights * theta / (weights @ theta)[:, None]
+            gamma = prior + row @ share
+        log_theta = topics.digamma(gamma) - topics.digamma(gamma.sum())
+        share = weights * np.exp(log_theta) / (weights @ np.exp(log_theta))[:, None]
+        total += row[:, None] * share
+        log_sum += log_theta
+    assert np.allclose(uses, total, atol=0.02) and np.allclose(logs, log_sum, atol=0.1)
+
+
+def test_derivatives_of_the_log_gamma_function():
+    x, h = np.array([0.01, 0.2, 1.0, 3.5, 80.0]), 1e-5
+    slope = np.array([(math.lgamma(v + h * v) - math.lgamma(v - h * v)) / (2 * h * v) for v in x])
+    assert np.allclose(topics.digamma(x), slope, rtol=1e-6)
+    assert np.allclose(topics.trigamma(x), (topics.digamma(x * (1 + h)) - topics.digamma(x * (1 - h))) / (2 * h * x), rtol=1e-5)
+
+
+def test_the_learned_prior_is_that_of_drawn_shares():
+    rng = np.random.default_rng(2)
+    true, prior = np.array([0.2, 1.0, 3.0]), np.full(3, 1 / 3)
+    mean_log = np.log(rng.dirichlet(true, 40_000) + 1e-300).mean(axis=0)
+    for _ in range(60):
+        prior = topics.new_prior(prior, mean_log, 40_000)
+    assert np.allclose(prior, true, rtol=0.05)
+
+
+def test_odd_documents(spark):
+    rows = [("pos", ["a", "b", "a"]), ("pos", []), ("pos", None), (None, ["c"]), ("other", ["d"]), ("pos", ["a", None, "e"])]
+    model = topics.lda_topics(spark.createDataFrame(rows, "polarity STRING, tokens ARRAY<STRING>"), k=2, sweeps=2)
+    assert {r.term for r in model.weights().collect()} == {"a", "b", "e"}
+    assert model.documents == [{"pos": 2}] * 2
+    empty = topics.lda_topics(spark.createDataFrame([], "polarity STRING, tokens ARRAY<STRING>"), sweeps=2)
+    assert topics.topic_words(empty).count() == 0 and topics.topic_summary(empty).count() == 0
