@@ -31,7 +31,7 @@ def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(c) if c in rows.columns else absent.alias(c) for c in schemas.REVIEW_FIELDS])
 
 
-def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_payloads(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
     """Reviews as API pages: at most 100 of one product in a payload, however many it has."""
     result = F.struct(
         F.concat(F.lit("user"), "fileIndex").alias("UserNickname"),
@@ -44,7 +44,7 @@ def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (b.reviews(spark, sf_dir).groupBy("productID", page)
             .agg(F.to_json(F.struct(F.count("*").alias("TotalResults"),
                                     F.collect_list(result).alias("Results"))).alias("payload"))
-            .select("productID", "payload"))
+            .select("productID", *kept, "payload"))
 
 
 def product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def scan_review_text_files(spark, sf_dir):
     path = new_path(spark, "review-files")
     rows = full_reviews(spark, sf_dir).withColumn("folder", F.substring("productID", 4, 9))
     file_sink.write_review_file_tree(rows, path, "folder", "fileIndex")
-    return review_files.read_review_text_dirs(spark, path)[0]
+    return review_files.read_review_text_files(spark, path)[0]
 
 
 @query("flatten_review_payload", b.with_views(b.V_REVIEWS, body="""
@@ -99,6 +99,19 @@ def flatten_review_payload(spark, sf_dir):
     return payloads.flatten_review_payload(review_payloads(spark, sf_dir))
 
 
+@query("review_payload_rejects", b.with_views(b.V_REVIEWS, body=f"""
+SELECT productID, page, unnest(['no results', 'no total', 'not a payload']) AS reason
+FROM (SELECT DISTINCT productID, CAST(fileIndex // {PAGE} AS BIGINT) AS page FROM v_reviews)"""))
+def review_payload_rejects(spark, sf_dir):
+    """Each payload as it is, cut off, without its total and without its results: three of four are rejects."""
+    whole = review_payloads(spark, sf_dir, "page")
+    forms = [F.col("payload"), F.substring("payload", F.lit(1), F.length("payload") - 1),
+             F.replace("payload", F.lit('"TotalResults"'), F.lit('"Total"')),
+             F.regexp_replace("payload", '(?s),"Results":.*', "}")]
+    given = whole.select("productID", "page", F.explode(F.array(*forms)).alias("payload"))
+    return payloads.split_review_payload(given)[1].drop("payload")
+
+
 @query("flatten_product_payload", """
 SELECT CAST(p_partkey AS VARCHAR) AS ProductID, p_name AS Product_name,
        regexp_extract(p_brand, '[0-9]+') AS Brand_id, p_brand AS Brand_name
@@ -107,40 +120,94 @@ def flatten_product_payload(spark, sf_dir):
     return payloads.flatten_product_payload(product_payloads(spark, sf_dir))
 
 
-def attribute_sql(tag: str, name: str) -> str:
-    pattern = pages.attribute_pattern(name).replace("'", "''")
-    value = "concat(" + ", ".join(f"regexp_extract({tag}, '{pattern}', {group})" for group in (1, 2, 3)) + ")"
-    for entity, char in pages.ENTITIES:
-        value = "replace({}, '{}', '{}')".format(value, entity, char.replace("'", "''"))
-    return value
-
-
-def has_attribute_sql(tag: str, name: str) -> str:
-    return "regexp_matches({}, '{}')".format(tag, pages.attribute_pattern(name).replace("'", "''"))
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query("extract_page_links", f"""
-WITH tags AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '{pages.ANCHOR}')) AS tag FROM pages),
-hrefs AS (
-  SELECT page_id, {attribute_sql("tag", "href")} AS href FROM tags
-  WHERE {has_attribute_sql("tag", "href")})
-SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
-                     ELSE concat('{BASE_URL}', href) END AS link, count(*) AS n
-FROM hrefs GROUP BY ALL""")
+def entity_sql(value: str) -> str:
+    """The SQL of ``pages.decode_entities``."""
+    digits = r"regexp_replace(lower(codes[i]), '^(x?)0+(.)', '\1\2')"
+    number = f"""CASE WHEN {digits}[1] = 'x' THEN CAST('0x' || {digits}[2:9] AS BIGINT) ELSE CAST({digits}[1:8] AS BIGINT) END"""
+    char = f"""CASE WHEN length({digits}) <= 8 AND {number} BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343
+               THEN chr(CAST({number} AS INTEGER)) ELSE '�' END"""
+    written = f"""(SELECT array_to_string(list_transform(range(1, len(pieces) + 1), lambda i:
+      pieces[i] || CASE WHEN i <= len(codes) THEN {char} ELSE '' END), '') FROM (
+        SELECT string_split_regex({value}, {quoted(pages.NUMBERED.replace("(", "(?:", 1))}) AS pieces,
+               regexp_extract_all({value}, {quoted(pages.NUMBERED)}, 1) AS codes))"""
+    for entity, char in pages.ENTITIES:
+        written = f"replace({written}, '{entity}', {quoted(char)})"
+    return written
+
+
+def tags_sql(view: str, name: str, *attributes: str) -> str:
+    """Views of the opening tags of ``view(page_id, html)`` with their place and attributes, as in ``pages``."""
+    def group(number: int) -> str:
+        return f"regexp_extract_all(tag, {quoted(pages.ATTRIBUTE)}, {number})"
+
+    found = ", ".join(f"list_position(list_transform({group(1)}, lambda a: lower(a)), '{a}') AS at_{i}" for i, a in enumerate(attributes))
+    raw = ", ".join(f"CASE WHEN at_{i} > 0 THEN concat({group(2)}[at_{i}], {group(3)}[at_{i}], {group(4)}[at_{i}]) END AS raw_{i}"
+                    for i in range(len(attributes)))
+    values = ", ".join(f'CASE WHEN raw_{i} IS NOT NULL THEN {entity_sql(f"raw_{i}")} END AS "{a}"' for i, a in enumerate(attributes))
+    return f"""
+listed AS (
+  SELECT page_id, regexp_extract_all(regexp_replace(html, {quoted(pages.SKIPPED)}, ' ', 'g'), {quoted(pages.tag_pattern(name))}) AS tags
+  FROM {view}),
+tags AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS place FROM listed),
+placed AS (SELECT *, {found} FROM tags),
+raws AS (SELECT page_id, place, {raw} FROM placed),
+valued AS (SELECT page_id, place, {values} FROM raws)"""
+
+
+LINK = f"""CASE WHEN regexp_matches(href, '{pages.SCHEME}') THEN href ELSE concat('{BASE_URL}', href) END"""
+
+# What the harvested pages hold, links of a class and marked elements, beside others that only
+# look like them: inside values, comments, scripts and headings. The page number goes between.
+LISTED, CLASSED = '<li><a href="/', """<li><a title="a > b" CLASS='nav  item' href="&#x2F;&#47;"""
+MARKS = (
+    '<!-- <a class="nav" href="/comment"> --><script>"<a class=nav href=/script>"</script><a class=navy href=/navy>'
+    '<a data-href="/data" title=" href=/title " class=nav href=/last/?a=1&amp;amp;b=&#8364;>'
+    '<div certona="BRAND" data-brand_id="0"></div>' "<DIV data-brand_id='",
+    "&#x31;' certona=BRAND></DIV>"
+    '<div certona="OTHER" data-brand_id="7"></div><title><div certona=BRAND data-brand_id=8></title>')
+
+MARKED = f"""
+marked AS (
+  SELECT page_id, concat(replace(html, {quoted(LISTED)}, {quoted(CLASSED)}), {quoted(MARKS[0])}, page_id, {quoted(MARKS[1])}) AS html
+  FROM pages)"""
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.pages(spark, sf_dir).select("page_id", F.concat(
+        F.replace("html", F.lit(LISTED), F.lit(CLASSED)), F.lit(MARKS[0]), F.col("page_id").cast("string"), F.lit(MARKS[1])).alias("html"))
+
+
+@query("extract_page_links", b.with_views(tags_sql("pages", "a", "href"), body=f"""
+SELECT page_id, {LINK} AS link, count(*) AS n FROM valued WHERE href IS NOT NULL GROUP BY ALL"""))
 def extract_page_links(spark, sf_dir):
     return pages.extract_page_links(b.pages(spark, sf_dir), BASE_URL)
 
 
-@query("extract_page_attribute", f"""
-WITH divs AS (
-  SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<div\\s[^>]*>'),
-    lambda t: {has_attribute_sql("t", "class")})[-1] AS div FROM pages)
-SELECT page_id, CASE WHEN div IS NOT NULL THEN {attribute_sql("div", "class")} END AS class FROM divs""")
+@query("extract_class_links", b.with_views(MARKED, tags_sql("marked", "a", "href", "class"), body=f"""
+SELECT page_id, {LINK} AS link, count(*) AS n FROM valued
+WHERE href IS NOT NULL AND list_contains(string_split_regex(class, '[{pages.SPACE}]+'), 'nav') GROUP BY ALL"""))
+def extract_class_links(spark, sf_dir):
+    return pages.extract_page_links(marked_pages(spark, sf_dir), BASE_URL, css_class="nav")
+
+
+@query("extract_page_attribute", b.with_views(tags_sql("pages", "div", "class"), body="""
+SELECT page_id, arg_max(class, place) FILTER (class IS NOT NULL) AS class
+FROM pages LEFT JOIN valued USING (page_id) GROUP BY page_id"""))
 def extract_page_attribute(spark, sf_dir):
     return pages.extract_page_attribute(b.pages(spark, sf_dir), "div", "class")
 
 
+@query("extract_marked_attribute", b.with_views(MARKED, tags_sql("marked", "div", "data-brand_id", "certona"), body="""
+SELECT page_id, arg_max("data-brand_id", place) FILTER ("data-brand_id" IS NOT NULL AND certona = 'BRAND') AS data_brand_id
+FROM pages LEFT JOIN valued USING (page_id) GROUP BY page_id"""))
+def extract_marked_attribute(spark, sf_dir):
+    return pages.extract_page_attribute(marked_pages(spark, sf_dir), "div", "data-brand_id", ("certona", "BRAND"))
+
+
 @query("promote_header_row", b.with_views(b.V_REVIEWS, body="SELECT rating, review FROM v_reviews"))
 def promote_header_row(spark, sf_dir):
     path = new_path(spark, "sheet")
@@ -200,7 +267,7 @@ def convert_review_files(spark, sf_dir):
     rows = full_reviews(spark, sf_dir).withColumn("folder", F.substring("productID", 4, 9))
     file_sink.write_review_file_tree(rows, f"{path}/tree", "folder", "fileIndex")
     # The numbering reads the names and the rows: opening a file per review is paid once.
-    found = materialize(review_files.read_review_text_dirs(spark, f"{path}/tree")[0], "found")
+    found = materialize(review_files.read_review_text_files(spark, f"{path}/tree")[0], "found")
     numbered = numbering.number_reviews(found)[0].select("fileIndex", *schemas.REVIEW_FIELDS)
     return rollover(materialize(numbered, "numbered"), f"{path}/parts")
 

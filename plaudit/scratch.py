@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,11 @@ def scratch(spark: SparkSession, label: str) -> Iterator[str]:
         yield path
     finally:
         release(spark, path)
+
+
+def file_place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path, for a task that opens a file by the name that Spark gives it."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme != "file":
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub("^/+", "/", rest if colon else path)

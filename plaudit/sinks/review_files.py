@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit import schemas
 from plaudit.functions.missing import null_to_na
 from plaudit.operators.numbering import place_in_groups
+from plaudit.scratch import file_place
 from plaudit.sources.review_files import RECORD_END
 
 # Fixed value: reviews per folder of the harvest.
@@ -34,10 +38,26 @@ def write_review_text_dirs(
 
 
 def write_review_file_tree(df: DataFrame, path: str, dir_column: str, file_column: str) -> None:
-    """One file per review, for tools that need that layout: ``dir=<n>/file=<k>/``.
+    """One file per review, in the layout of the harvest: ``<root>/<dir>/<file>.txt``.
 
-    Only for small sets; each task writes the folders of its own rows.
+    Each task writes the files of its own rows, under their final names, so a repeated task writes
+    the same files again. A folder is made once by the first task that needs it. Rows of one name
+    overwrite each other. For packed folders of large sets use ``write_review_text_dirs``.
     """
-    (df.select(review_line().alias("value"), F.col(dir_column).alias("dir"),
-               F.col(file_column).alias("file"))
-     .write.option("lineSep", RECORD_END).partitionBy("dir", "file").text(path))
+    rows = df.select(F.col(dir_column).cast("string").alias("dir"), F.col(file_column).cast("string").alias("file"),
+                     review_line().cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_place(path)
+        made, written = set(), 0
+        for batch in batches:
+            for folder, name, value in zip(*(batch.column(c).to_pylist() for c in ("dir", "file", "value"))):
+                if folder not in made:
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{root}/{folder}/{name}.txt", compression=None) as out:
+                    out.write(value)
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    rows.mapInArrow(run, "written long").agg(F.sum("written")).collect()

@@ -1,10 +1,14 @@
 import csv
 import json
 import random
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F, types as T
 
 from plaudit import schemas
-from plaudit.sinks import csv as csv_sink
-from plaudit.sources import csv as csv_source, pages, payloads, review_files, tables
+from plaudit.sinks import csv as csv_sink, review_files as file_sink
+from plaudit.sources import csv as csv_source, pages, payloads, records, review_files, tables
 
 
 def test_csv_keeps_newlines_quotes_and_letters(spark, reviews, tmp_path):
@@ -51,19 +55,86 @@ def test_csv_type_inference(spark, tmp_path):
         ("a", "int"), ("b", "string"), ("c", "double")]
 
 
+@contextmanager
+def splits(spark, size):
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 def test_one_large_file_without_newlines_is_read_in_splits(spark, tmp_path):
     path = tmp_path / "p.csv"
     lines = [f'P{i},"Glow, ""new"" {i}",1,Alpha' for i in range(3000)]
     path.write_text("\n".join(["ID,Product_name,Brand_id,Brand_name", *lines]) + "\n")
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
+    with splits(spark, 20_000):
         split, whole = (csv_source.read_products(spark, str(path), multi_line=m) for m in (False, True))
-        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert split.rdd.getNumPartitions() > 1
         assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
         assert split.count() == 3000
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+# How one file with newlines in its texts is read: as one task, and as many.
+SHEET = "id LONG, text STRING, more STRING"
+
+
+def write_sheet(path, rng, end, rows=150):
+    pieces = ['"', '""', ",", "\n", "\n\n", "\t", "'", "\\", " ", "é", "漢", "a", "NA", "word"]
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator=end)
+        # Spark takes the first line end it meets for that of the whole file.
+        writer.writerow(["id", "te\nxt" if end == "\n" else "text", "more"])
+        for i in range(rows):
+            writer.writerow([i, "".join(rng.choice(pieces) for _ in range(rng.randrange(14))), rng.choice(["x", "", "a\nb"])])
+            out.write(rng.choice([""] * 20 + ["bad line" + end, '7,in " middle,ok' + end, end, '8,"' + "long\n" * 300 + '",ok' + end]))
+        out.write('9,"open at the end\nof the file')
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_newlines_in_texts_are_read_in_splits(spark, tmp_path, end):
+    rng = random.Random(len(end))
+    for name in "ab":
+        write_sheet(tmp_path / f"{name}.csv", rng, end)
+    schema = T.StructType.fromDDL(SHEET)
+    reader = spark.read.schema(schema).options(**csv_source.READING, multiLine=True).option("columnPruning", False)
+    expected = sorted(map(str, reader.option("mode", "DROPMALFORMED").csv(str(tmp_path)).collect()))
+    assert len(expected) > 300
+    for size in (1 << 27, 5000, 400):
+        with splits(spark, size):
+            found = csv_source.read_csv_drop_malformed(spark, str(tmp_path), schema)
+            assert sorted(map(str, found.collect())) == expected, size
+            lines, _ = records._lines(spark, str(tmp_path))
+            assert size > 5000 or lines.rdd.getNumPartitions() > 4
+
+
+def test_states_of_splits_do_not_depend_on_the_size_of_splits(spark, tmp_path):
+    write_sheet(tmp_path / "a.csv", random.Random(3), "\n")
+    data = (tmp_path / "a.csv").read_bytes()
+    with splits(spark, 300):
+        found = {r.start: r for r in records.split_states(records._lines(spark, str(tmp_path))[0].drop("folder")).collect()}
+    assert len(found) > 20 and any(r.inside for r in found.values())
+    inside, place, state = False, 0, {}
+    for line in data.split(b"\n"):
+        state[place] = inside
+        inside = records.ends_inside(line, inside)
+        place += len(line) + 1
+    for start, row in found.items():
+        # A split owns the lines that start behind its first byte; the first split owns the first line too.
+        first = min(p for p in state if p > start or p == start == 0)
+        assert row.inside == state[first], start
+        if row.inside:
+            assert row.opener < start
+
+
+def test_partition_folders_of_records_are_columns(spark, tmp_path):
+    for part in (1, 2):
+        (tmp_path / f"part={part}").mkdir()
+        (tmp_path / f"part={part}" / "x.csv").write_text(f'a,b\n{part},"one\ntwo"\n')
+    found = csv_source.read_csv_drop_malformed(spark, str(tmp_path), T.StructType.fromDDL("a INT, b STRING, part LONG"))
+    assert sorted(map(tuple, found.collect())) == [(1, "one\ntwo", 1), (2, "one\ntwo", 2)]
 
 
 def test_sheet_header_is_replaced(spark, tmp_path):
@@ -73,6 +144,16 @@ def test_sheet_header_is_replaced(spark, tmp_path):
     assert [(r.rating, r.review) for r in rows] == [("5", "good"), ("1", "bad")]
 
 
+def test_sheets_with_long_headers_and_newlines_are_read_in_splits(spark, tmp_path):
+    for name in "ab":
+        rows = "".join(f'{i % 5 + 1},"{name}{i}\nsecond ""line"""\n' for i in range(300))
+        (tmp_path / f"{name}.csv").write_text('"head\n' + "er " * 200 + '",header\n' + rows + "3\n")
+    with splits(spark, 500):
+        found = csv_source.read_polarity_sheet(spark, str(tmp_path)).collect()
+    expected = [(str(i % 5 + 1), f'{name}{i}\nsecond "line"') for name in "ab" for i in range(300)] + [("3", None)] * 2
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+
+
 def _review_text(*fields):
     return "\t".join(fields)
 
@@ -91,6 +172,18 @@ def test_review_text_files(spark, tmp_path):
     assert [(r.n_fields, r.path.endswith("/10/3.txt")) for r in rejects.collect()] == [(8, True)]
 
 
+def test_review_file_tree_round_trip(spark, reviews, tmp_path):
+    rows = reviews.withColumn("dir", F.col("fileIndex") % 2)
+    file_sink.write_review_file_tree(rows, f"file://{tmp_path}/tree", "dir", "fileIndex")
+    assert sorted(str(p.relative_to(tmp_path / "tree")) for p in (tmp_path / "tree").rglob("*.txt")) == sorted(
+        f"{i % 2}/{i}.txt" for i in range(7))
+    back, rejects = review_files.read_review_text_files(spark, str(tmp_path / "tree"))
+    # A tab inside a review cuts it, as in the harvest.
+    expected = {(str(r.fileIndex % 2), str(r.fileIndex), *[(r[c] if r[c] is not None else "NA").split("\t")[0] for c in schemas.REVIEW_FIELDS])
+                for r in rows.collect()}
+    assert {tuple(r) for r in back.collect()} == expected and rejects.count() == 0
+
+
 def _payload(total, *results):
     return json.dumps({"TotalResults": total, "Results": list(results)})
 
@@ -125,6 +218,32 @@ def test_review_payload_pages(spark):
     assert payloads.flatten_review_payload(df, offset="offset").count() == 150
 
 
+def test_payloads_that_cannot_be_read_are_rejects(spark):
+    rows = [("ok", _payload(1, _result("ann"))), ("none", _payload(0)), ("cut", _payload(1, _result("ann"))[:-3]), ("null", None),
+            ("text", "<html>not json"), ("list", "[1]"), ("total", _payload(None, _result("x"))), ("bare", json.dumps({"TotalResults": 3})),
+            ("word", json.dumps({"TotalResults": "many", "Results": []})), ("short", json.dumps({"TotalResults": 3, "Results": []}))]
+    rows, rejects = payloads.split_review_payload(spark.createDataFrame(rows, "productID STRING, payload STRING"))
+    assert [r.productID for r in rows.collect()] == ["ok"]
+    assert {r.productID: r.reason for r in rejects.collect()} == {
+        "cut": "not a payload", "null": "not a payload", "text": "not a payload", "list": "not a payload", "word": "not a payload",
+        "total": "no total", "bare": "no results"}
+    assert rejects.columns == ["productID", "payload", "reason"]
+
+
+def test_listings_that_disagree_with_their_total_are_rejects(spark):
+    def body(total, *names):
+        return json.dumps({"page_size": 2, "total_products": total, "brand": {"brand_name": "B"},
+                           "products": [{"id": n, "display_name": n} for n in names]})
+    rows = [("1", body(2, "a", "b")), ("2", body(1, "c", "d")), ("3", body(3, "e", "f")), ("4", "{"), ("5", body(None, "g")), ("6", body(0))]
+    found, rejects = payloads.split_product_payload(spark.createDataFrame(rows, "Brand_id STRING, payload STRING"))
+    assert sorted(r.ProductID for r in found.collect()) == ["a", "b", "c", "e", "f"]
+    assert {r.Brand_id: r.reason for r in rejects.collect()} == {
+        "2": "total 1, given 2", "3": "total 3, given 2", "4": "not a payload", "5": "no total"}
+    paged = [("1", body(3, "a", "b")), ("1", body(3, "c")), ("2", body(3, "d", "e")), ("2", body(3)), (None, body(1, "f"))]
+    found, rejects = payloads.split_product_payload(spark.createDataFrame(paged, "Brand_id STRING, payload STRING"), pages=True)
+    assert found.count() == 6 and [(r.Brand_id, r.reason) for r in rejects.collect()] == [("2", "total 3, given 2")] * 2
+
+
 def test_product_payload_edges(spark):
     def body(total, brand, *products):
         return json.dumps({"page_size": 60, "total_products": total,
@@ -168,6 +287,107 @@ def test_attributes_of_any_case_and_quoting(spark):
     assert {r.link for r in pages.extract_page_links(df, "http://h", css_class="k").collect()} == {"http://h/x"}
     assert pages.extract_page_attribute(df, "div", "class").first()["class"] == "one"
 
+
+SPACE = " \t\n\f\r"
+
+
+def scan_tags(html, name):
+    """Opening tags by reading character by character: (first value of each attribute), in order."""
+    low, out, i = html.lower(), "", 0
+    while i < len(html):
+        end = None
+        if low.startswith("<!--", i):
+            close = low.find("-->", i + 4)
+            end = len(html) if close < 0 else close + 3
+        for element in pages.TEXT_ELEMENTS:
+            after = i + 1 + len(element)
+            if low.startswith("<" + element, i) and low[after:after + 1] and low[after] in SPACE + "/>" and ">" in low[after:]:
+                at = low.index(">", after) + 1
+                while end is None:
+                    close = low.find("</" + element, at)
+                    if close < 0:
+                        end = len(html)
+                    elif low[close + 2 + len(element):][:1] and low[close + 2 + len(element)] in SPACE + "/>":
+                        end = close + 3 + len(element)
+                    at = close + 1
+        out, i = (out + " ", end) if end else (out + html[i], i + 1)
+    tags, i, html = [], 0, out
+    while i < len(html):
+        found = scan_tag(html, i, name)
+        if found:
+            tags.append(found[0])
+        i = found[1] if found else i + 1
+    return tags
+
+
+def scan_tag(html, i, name):
+    if html[i] != "<" or html[i + 1:i + 1 + len(name)].lower() != name:
+        return None
+    i, values, word, last = i + 1 + len(name), {}, "", None
+    if i >= len(html) or html[i] not in SPACE + "/>":
+        return None
+    while i < len(html):
+        char = html[i]
+        if char == "=":
+            word, last = "", word or last
+            i += 1
+            while i < len(html) and html[i] in SPACE:
+                i += 1
+            if i == len(html):
+                return None
+            if html[i] == ">":
+                continue
+            if html[i] in "'\"":
+                close = html.find(html[i], i + 1)
+                if close < 0:
+                    return None
+                value, i = html[i + 1:close], close + 1
+            else:
+                start = i
+                while i < len(html) and html[i] not in SPACE + ">":
+                    i += 1
+                value = html[start:i]
+            if last:
+                values.setdefault(last.lower(), value)
+            last = None
+        elif char in SPACE + "/>":
+            last, word = (word or last) if char in SPACE else None, ""
+            if char == ">":
+                return values, i + 1
+            i += 1
+        elif char in "'\"":
+            return None
+        else:
+            word, last = word + char, None
+            i += 1
+    return None
+
+
+def test_tags_agree_with_a_scanner(spark):
+    rng = random.Random(21)
+    pieces = ["<a ", "<a\t", "<A/", "<a>", "<ab ", "href=", "HREF = ", "data-href=", "title=", '"', '"', "'", "'", ">", "> ", "/", " ", "\n", "x", "y=z",
+              "/p", "=", "<!--", "-->", "<script>", "</script>", "<style x=y>", "</style >", "<title>", "</title>", "&amp;", "a>b", '"x>y"', "'u v'", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(3, 40))) for _ in range(3000)]
+    texts += ['<a title="a>b" href=x>', "<!-- <a href=no> --><a href=yes>", '<a href="1" href="2">', "<a\nhref\n=\n'3'>", "<a href=a\"b'c>",
+              '<a title=" href=no " data-href=no href=yes/>', "<script><a href=no></script ><a href=yes>", '<a b="1"href="2">', "<a href=>", "<a href>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id LONG, html STRING").repartition(4)
+    tags = F.transform(pages.opening_tags("html", "a"), lambda t: pages.attribute_value(t, "href"))
+    plain = {"&amp;": "&"}
+    for row in df.select("page_id", tags.alias("hrefs")).collect():
+        expected = [tag.get("href") for tag in scan_tags(texts[row.page_id], "a")]
+        expected = [v if v is None else v.replace("&amp;", plain["&amp;"]) for v in expected]
+        # A name with nothing behind it has an empty value for the reader and none for the scanner.
+        assert [v or None for v in row.hrefs] == [v or None for v in expected], texts[row.page_id]
+
+
+def test_character_references(spark):
+    texts = {"&#x2F;": "/", "&#47": "/", "&#X00041;b": "Ab", "&#8364;": "€", "&#x1F600;": "\U0001f600", "&#0;": "\ufffd", "&#xD800;": "\ufffd",
+             "&#99999999999999999999;": "\ufffd", "&#x110000;": "\ufffd", "&amp;#47;": "&#47;", "&amp;lt;": "&lt;", "&apos;&quot;&lt;&gt;": "'\"<>",
+             "": "", "&#;": "&#;", "a&#98;c&#x64;e&#": "abcde&#"}
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").repartition(2)
+    assert {r.t: r.v for r in df.select("t", pages.decode_entities(F.col("t")).alias("v")).collect()} == texts
+
+
 def test_csv_round_trip_of_random_texts(spark, tmp_path):
     rng = random.Random(2)
     pieces = ['"', '""', ",", "\n", "\r\n", "\t", "'", "\\", " ", "é", "漢", "a", "NA", "#", ";", " "]
