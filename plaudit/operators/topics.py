@@ -107,23 +107,32 @@ def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarra
     ``doc`` rises; ``weights`` are exp(E[log beta]) of the block's terms. Returns the expected
     uses of each term in each topic, and the sum over the documents of E[log theta].
     """
+    # One row a topic: sums over the entries of a document are then runs of one array.
     starts = np.nonzero(np.diff(doc, prepend=-1))[0]
-    own = weights[place]
-    gamma = prior + np.add.reduceat(n, starts)[:, None] / len(prior)
+    sizes = np.diff(np.append(starts, len(doc)))
+    own = np.ascontiguousarray(weights[place].T)
+
+    def shared(theta: np.ndarray) -> np.ndarray:
+        """Count of each entry over its sum over the topics."""
+        return n / (sum(np.repeat(t, sizes) * w for t, w in zip(theta, own)) + 1e-100)
+
+    def log_shares(gamma: np.ndarray) -> np.ndarray:
+        return digamma(gamma) - digamma(gamma.sum(axis=0))
+
+    gamma = prior[:, None] + np.add.reduceat(n, starts) / len(prior)
     for _ in range(ROUNDS):
-        log_theta = digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))
-        theta = np.exp(log_theta)
-        ratio = n / ((theta[doc] * own).sum(axis=1) + 1e-100)
-        new = prior + theta * np.add.reduceat(ratio[:, None] * own, starts, axis=0)
+        theta = np.exp(log_shares(gamma))
+        ratio = shared(theta)
+        new = prior[:, None] + theta * np.stack([np.add.reduceat(ratio * w, starts) for w in own])
         change = np.abs(new - gamma).mean()
         gamma = new
         if change < CHANGE:
             break
-    log_theta = digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))
-    share = np.exp(log_theta)[doc] * own
-    share *= (n / (share.sum(axis=1) + 1e-100))[:, None]
-    uses = np.stack([np.bincount(place, column, len(weights)) for column in share.T], axis=1)
-    return uses, log_theta.sum(axis=0), len(starts)
+    log_theta = log_shares(gamma)
+    theta = np.exp(log_theta)
+    ratio = shared(theta)
+    uses = [np.bincount(place, np.repeat(t, sizes) * w * ratio, len(weights)) for t, w in zip(theta, own)]
+    return np.stack(uses, axis=1), log_theta.sum(axis=1), len(starts)
 
 
 def new_prior(prior: np.ndarray, mean_log: np.ndarray, documents: int) -> np.ndarray:
@@ -160,7 +169,8 @@ def fit_topics(
     start = [(F.lit(prior_weight) + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(name)
              for i, name in enumerate(names)]
     model = TopicModel(by, k, store(asked.select(by, "term").distinct().select(by, "term", *start), f"{path}/sweep-0"), {}, {})
-    model.totals = _totals(model.table, by, names)
+    sums = model.table.groupBy(by).agg(*[F.sum(c).alias(c) for c in names]).collect()
+    model.totals = {r[by]: np.array([r[c] for c in names]) for r in sums}
     model.priors = {name: np.full(k, 1.0 / k) for name in model.totals}
     schema = f"`{by}` string, term string, " + ", ".join(f"{n} double" for n in names) + ", documents long"
 
@@ -187,8 +197,10 @@ def fit_topics(
             *[(F.sum(c) + F.when(F.col("term").isNotNull(), prior_weight).otherwise(0.0)).alias(c) for c in names],
             F.sum("documents").alias("documents")), f"{path}/sweep-{sweep}")
         model.table = summed.where("term IS NOT NULL").drop("documents")
-        model.totals = _totals(model.table, by, names)
-        over = {r[by]: r for r in summed.where("term IS NULL").collect()}
+        sums = summed.groupBy(by, F.isnull("term").alias("over")).agg(
+            *[F.sum(c).alias(c) for c in (*names, "documents")]).collect()
+        model.totals = {r[by]: np.array([r[c] for c in names]) for r in sums if not r["over"]}
+        over = {r[by]: r for r in sums if r["over"]}
         model.documents.append({name: r["documents"] for name, r in over.items()})
         model.priors = {name: new_prior(priors[name], np.array([r[c] for c in names]) / r["documents"], r["documents"])
                         for name, r in over.items()}
@@ -197,11 +209,6 @@ def fit_topics(
     return model
 
 
-def _totals(table: DataFrame, by: str, names: Sequence[str]) -> dict[str, np.ndarray]:
-    sums = table.groupBy(by).agg(*[F.sum(c).alias(c) for c in names]).collect()
-    return {r[by]: np.array([r[c] for c in names]) for r in sums}
-
-
 def lda_topics(docs: DataFrame, by: str = "polarity", classes: Sequence[str] = ("pos", "neg"), **options) -> TopicModel:
     """Topics of each class of documents, all classes in the same sweeps."""
     return fit_topics(docs, by=by, classes=classes, **options)
