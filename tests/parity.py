@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -22,9 +23,12 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def session() -> SparkSession:
+    scratch = tempfile.mkdtemp(prefix="parity-")
     spark = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", f"{scratch}/checkpoint")
+             .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
              .config("spark.driver.memory", "8g")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
