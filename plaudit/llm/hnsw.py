@@ -21,8 +21,11 @@ THRESHOLD = 0.98
 # Vectors of one graph at about; links of a node above and on the ground level; beam while building.
 SHARD_ROWS, LINKS, GROUND_LINKS, BUILD_BEAM = 6_000, 12, 24, 48
 
-# First beam of a search, vectors of a block that an audit compares with brute force, recall to reach.
-BEAM, AUDITED, RECALL = 24, 64, 0.99
+# First beam of a search, true links that an audit must have seen, recall to reach.
+BEAM, AUDIT_LINKS, RECALL = 24, 400, 0.99
+
+# Tasks that compare shards at most; beyond that a task takes several pairs.
+MOST_TASKS = 50_000
 
 
 class Graph:
@@ -171,17 +174,37 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
-def _matches(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float) -> np.ndarray:
+def _audit(queries: np.ndarray, vectors: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Some queries and their true links, by brute force: as many as it takes to see ``AUDIT_LINKS`` links, or all.
+
+    A query's match with itself, where both sides are the ``same`` vectors, is no link.
+    """
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    truth, seen = [], 0
+    for i in range(0, len(order), 256):
+        part = order[i:i + 256]
+        links = queries[part] @ vectors.T >= threshold
+        if same:
+            links[np.arange(len(part)), part] = False
+        truth.append(links)
+        seen += int(links.sum())
+        if seen >= AUDIT_LINKS:
+            break
+    truth = np.concatenate(truth) if truth else np.empty((0, len(vectors)), bool)
+    return order[:len(truth)], truth
+
+
+def _matches(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold: float, same: bool = False) -> np.ndarray:
     """Verified links [query, vector]. The beam doubles until an audit passes.
 
-    Audited queries, evenly spaced, are compared with every vector of the shard; if the search met
-    less than ``RECALL`` of their links, all queries are searched anew with a beam twice as wide. At
-    the width of the shard the search is exhaustive.
+    If the search met less than ``RECALL`` of the true links of the audited queries, all queries are
+    searched anew with a beam twice as wide. Where links are few, all queries are audited, so none
+    is lost; the links that an audit finds are kept. At the width of the shard the search is
+    exhaustive.
     """
     floor = threshold - 1e-4  # single precision finds, double precision decides
     single = queries.astype(np.float32)
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = queries[audited] @ vectors.T >= threshold
+    audited, truth = _audit(queries, vectors, threshold, same)
     width = BEAM
     while True:
         found = np.zeros((len(queries), len(vectors)), bool)
@@ -194,6 +217,7 @@ def _matches(graph: Graph, queries: np.ndarray, vectors: np.ndarray, threshold:
         if width >= len(vectors) or (found[audited] & truth).sum() >= RECALL * truth.sum():
             break
         width *= 2
+    found[audited] |= truth
     at, to = np.nonzero(found)
     for i in range(0, len(at), 200_000):
         a, b = at[i:i + 200_000], to[i:i + 200_000]
@@ -248,7 +272,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             nodes, copies, vectors, graph = _load(row, "a")
             if row["a_shard"] == row["b_shard"]:
                 others, other_copies = nodes, copies
-                found = _matches(graph, vectors, vectors, threshold)
+                found = _matches(graph, vectors, vectors, threshold, same=True)
                 found |= found.T
                 np.fill_diagonal(found, False)
                 links = [(nodes, found @ copies)]
@@ -306,7 +330,7 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
     first = shards.select("label", "width", F.col("shard").alias("a_shard"), *[F.col(c).alias(f"a_{c}") for c in parts],
                           F.explode(F.sequence("shard", F.col("shards") - 1)).alias("b_shard"))
     second = shards.select("label", "width", F.col("shard").alias("b_shard"), *[F.col(c).alias(f"b_{c}") for c in parts])
-    both = first.join(second, ["label", "width", "b_shard"]).repartition(max(1, pairs or 0), "label", "width", "a_shard", "b_shard")
+    both = first.join(second, ["label", "width", "b_shard"]).repartition(min(MOST_TASKS, max(1, pairs or 0)), "label", "width", "a_shard", "b_shard")
     met = store(both.mapInArrow(lambda batches: _compare(batches, threshold), "node long, links long, other long"), f"{path}/met")
 
     found = components(met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), f"{path}/components")

@@ -214,3 +214,22 @@ def test_a_narrow_beam_is_widened_until_the_audit_passes(monkeypatch):
     found = hnsw._matches(hnsw.Graph.build(vectors), vectors, vectors, 0.98)
     exact = vectors @ vectors.T >= 0.98
     assert (found & exact).sum() >= 0.97 * exact.sum() and not (found & ~exact).any()
+
+
+def test_no_link_is_lost_where_links_are_few():
+    rng = np.random.default_rng(6)
+    left, right = hnsw._unit(rng.normal(size=(1200, 64))), rng.normal(size=(1200, 64))
+    planted = rng.choice(1200, 100, replace=False)
+    right[planted] = left[planted[::-1]] + rng.normal(scale=0.012, size=(100, 64))
+    right = hnsw._unit(right)
+    exact = left @ right.T >= 0.98
+    assert 60 < exact.sum() < hnsw.AUDIT_LINKS
+    assert (hnsw._matches(hnsw.Graph.build(right), left, right, 0.98) == exact).all()
+
+
+def test_an_audit_leaves_out_the_match_with_itself():
+    vectors = hnsw._unit(np.random.default_rng(7).normal(size=(500, 32)))
+    audited, truth = hnsw._audit(vectors, vectors, 0.98, same=True)
+    assert len(audited) == 500 and not truth.any()
+    audited, truth = hnsw._audit(vectors, np.repeat(vectors[:1], 300, axis=0), -1.0, same=False)
+    assert len(audited) == 256 and truth.all()
