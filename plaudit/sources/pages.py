@@ -11,8 +11,8 @@ SPACE = r" \t\n\f\r"
 TEXT_ELEMENTS = ("script", "style", "textarea", "title")
 
 # What holds no tags: comments and text elements, from the left, up to the end if they are open.
-SKIPPED = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)"] + [
-    rf"<{name}(?:[{SPACE}/][^>]*)?>.*?(?:</{name}[{SPACE}/>]|\z)" for name in TEXT_ELEMENTS])
+SKIPPED = "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)"] + [
+    rf"{name}(?:[{SPACE}/][^>]*)?>.*?(?:</{name}[{SPACE}/>]|\z)" for name in TEXT_ELEMENTS]) + ")"
 
 # A value has double, single or no quotes; in one without, a quote is a character like others.
 VALUE = rf"""(?:"[^"]*"|'[^']*'|[^{SPACE}"'>][^{SPACE}>]*)"""
