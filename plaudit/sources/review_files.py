@@ -27,17 +27,8 @@ def read_review_text_files(spark: SparkSession, root: str) -> tuple[DataFrame, D
     return split_review_fields(files)
 
 
-def read_review_text_dirs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The same for ``<root>/dir=<n>/file=<k>/`` folders as Spark writes them, one review each."""
-    files = (spark.read.schema("value STRING, dir STRING, file STRING")
-             .option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-             .select(F.regexp_replace("value", RECORD_END + "$", "").alias("value"),
-                     F.col("_metadata.file_path").alias("path"), "dir", "file"))
-    return split_review_fields(files)
-
-
 def read_review_text_records(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The same for packed ``<root>/dir=<n>/`` folders: many records per file, read in splits."""
+    """The (reviews, rejects) of packed ``<root>/dir=<n>/`` folders: many records per file, read in splits."""
     records = (spark.read.schema("value STRING, dir STRING").option("lineSep", RECORD_END)
                .text(root)
                .select("value", F.col("_metadata.file_path").alias("path"), "dir",

@@ -55,7 +55,7 @@ def test_record_separator_in_a_review_fails(spark, reviews, tmp_path):
 def test_review_file_tree(spark, reviews, tmp_path):
     path = str(tmp_path / "out")
     file_sink.write_review_file_tree(reviews, path, "productID", "fileIndex")
-    back, rejects = review_files.read_review_text_dirs(spark, path)
+    back, rejects = review_files.read_review_text_files(spark, path)
     assert rejects.count() == 0
     rows = {r.file: (r.dir, r.review) for r in back.collect()}
     assert rows["0"] == ("P1", 'dark circle\ngone, "wow"') and len(rows) == 7
