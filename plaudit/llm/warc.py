@@ -8,10 +8,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plaudit.scratch import new_path, release, store
+from plaudit.scratch import file_place, new_path, release, store
 
 # Payloads of at least this many bytes are kept once; later copies revisit it.
 MIN_BYTES = 1000
@@ -156,14 +155,6 @@ def content_length(fields: dict[str, str]) -> int:
     return int(fields["content-length"])
 
 
-def place(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a file as Spark names it: the shared folder, a mounted disk or an object store."""
-    scheme, colon, rest = path.partition(":")
-    if colon and scheme != "file":
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), re.sub("^/+", "/", rest if colon else path)
-
-
 def normalise(source, archive, sidecar) -> tuple[int, str | None]:
     """Rewrite every record of an inflated file as a gzip member, and list the members.
 
@@ -212,9 +203,9 @@ def normalise_archives(spark: SparkSession, source: str, target: str) -> DataFra
                 zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["path", "records", "bytes", "error"])
 
     def one(path: str) -> tuple[str, int, int, str | None]:
-        system, at = place(path)
+        system, at = file_place(path)
         stem = re.sub(r"(\.warc|\.txt)?\.gz$", "", at.rsplit("/", 1)[-1])
-        there, folder = place(target)
+        there, folder = file_place(target)
         names = [f"{folder}/{stem}{end}" for end in (ARCHIVE, INDEX)]
         own = [f"{folder}/.{uuid.uuid4().hex}{end}" for end in (ARCHIVE, INDEX)]
         with (system.open_input_stream(at, compression=None) as stream,
@@ -257,7 +248,7 @@ def read_records(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
         for batch in batches:
             for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length"))):
                 if archive != path:
-                    system, at = place(archive)
+                    system, at = file_place(archive)
                     path, file = archive, system.open_input_file(at)
                 file.seek(offset)
                 rows.append(parse(zlib.decompress(file.read(length), 31)))
