@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plaudit.llm.common import SPACES
-from plaudit.scratch import new_path, store
+from plaudit.scratch import new_path, release, store
 
 # A key of at least this many code points, in at least this many documents, is a repeated line.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -125,8 +125,10 @@ def repeated_lines(
         repeats = known if repeats is None else repeats.union(known)
     often = store(store_runs.totals().where(F.col("docs") >= min_docs).select("hash"), f"{path}/often")
     places = repeats.join(often, "hash").select("key", F.inline("places"))
-    return store(places.groupBy(F.col("key").alias("_key"), "_print").agg(
-        F.collect_set("line").alias("_drop")), f"{path}/drop")
+    drops = store(places.groupBy(F.col("key").alias("_key"), "_print").agg(
+        F.collect_set("line").alias("_drop")), new_path(spark, "drops"))
+    release(spark, path)
+    return drops
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -139,7 +141,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     drops = repeated_lines(docs, key, text, **options)
     rows = _marked(docs.select(F.struct("*").alias("_row"), F.col(key).alias("_of"), F.col(text).alias("_text")), "_of", "_text")
-    joined = rows.join(drops, ["_key", "_print"], "left").withColumns({
+    # Merged at every size, so that what a small table shuffles tells what a large one will.
+    joined = rows.join(drops.hint("merge"), ["_key", "_print"], "left").withColumns({
         "_lines": split_lines("_text"), "_drop": F.coalesce("_drop", F.array().cast("array<int>"))})
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     rest = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
