@@ -3,6 +3,7 @@ import dataclasses
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 def test_marginal_is_the_sum_over_all_segmentations():
     pieces = lattice.Pieces.existing(RANKS)
     score = {int(k).to_bytes(n, "little"): pieces.scores[i]
-             for n, (keys, ids) in enumerate(zip(pieces.keys, pieces.ids), 1) for k, i in zip(keys, ids)}
+             for n, (keys, ids) in enumerate(zip(pieces.keys, pieces.ids), 1) for k, i in zip(keys, ids) if i >= 0}
 
     def ways(word):
         if not word:
@@ -80,6 +81,13 @@ def test_chances_of_the_tokens_do_not_add_up_to_more_than_one():
     assert 0.5 < met.sum() < 1
 
 
+def test_without_training_rows_the_end_has_a_chance(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["", "new words"])], "doc_id LONG, text STRING, lang STRING")
+    found = {r.doc_id: r for r in lattice.score_texts(docs, RANKS, divisor=1, held=0).collect()}
+    assert found[0].score == pytest.approx(math.log10(lattice.BLANK_END)) and found[1].score < found[0].score
+    assert all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) for r in found.values())
+
+
 def test_lattice_on_odd_and_empty_tables(odd_docs, no_docs):
     found = lattice.score_texts(odd_docs, RANKS).collect()
     assert len(found) == odd_docs.count() and all(math.isfinite(r.score) for r in found)
@@ -103,6 +111,67 @@ def test_kneser_ney_chances_of_a_context_add_up_to_one(spark, sf_dir):
         assert math.isclose(np.exp(model.log_chances(keys)).sum(), 1.0, rel_tol=1e-9)
 
 
+def test_perplexity_agrees_with_a_kneser_ney_in_dictionaries(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(["the", "Then", "a1", "über", "x##", "of,", "other"]) for _ in range(rnd.randrange(1, 40))) for _ in range(60)] + [""]
+    order, bits, classes = ngram_quality.ORDER, ngram_quality.BITS, {}
+    rows = []
+    for text in texts:
+        row = [int(k) for k in ngram_quality.ngram_keys(text.encode())]
+        rows.append([tuple(k >> bits * i & (1 << bits) - 1 for i in range(order - 1, -1, -1)) for k in row])
+    counts = {order: Counter(g for row in rows for g in row)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts, whole, kinds = {}, {}, {}
+    for n, own in counts.items():
+        of = Counter(min(c, 5) for c in own.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        cuts[n] = [0] + [min(i - 0.05, max(0.05, i - (i + 1) * y * of[i + 1] / of[i])) if of[i] and of[i + 1] else min(0.75, i / 2) for i in (1, 2, 3)]
+        whole[n], kinds[n] = Counter(), {}
+        for gram, c in own.items():
+            whole[n][gram[:-1]] += c
+            kinds[n].setdefault(gram[:-1], []).append(c)
+
+    def chance(gram):
+        n, context = len(gram), gram[:-1]
+        if not n:
+            return 1 / (1 << bits)
+        if context not in kinds[n]:
+            return chance(gram[1:])
+        rest = sum(cuts[n][min(c, 3)] for c in kinds[n][context]) / whole[n][context]
+        c = counts[n][gram]
+        return max(c - cuts[n][min(c, 3)], 0) / whole[n][context] + rest * chance(gram[1:])
+
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING").repartition(3)
+    model = ngram_quality.fit(ngram_quality.count_ngrams(docs))
+    found = model.mean_surprises([ngram_quality.ngram_keys(t.encode()) for t in texts])
+    expected = [-sum(math.log(chance(g)) for g in row) / len(row) if row else 0 for row in rows]
+    assert np.allclose(found, expected, atol=1e-5)
+    keys = np.random.default_rng(1).integers(0, 1 << order * bits, 5000)
+    assert np.allclose(model.logs()[keys], model.log_chances(keys), atol=1e-4)
+
+
+def test_verdicts_follow_from_the_perplexities(spark):
+    """The bands and ``kept`` by hand, from the log perplexities that ``judge`` returns."""
+    rnd = random.Random(8)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(5, 80))), rnd.choice(["en", "fr", None])) for i in range(150)]
+    rows += [(200 + i, " ".join("".join(rnd.choices("0#@%9", k=6)) for _ in range(40)), "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    found = {r.doc_id: r for r in ngram_quality.judge(docs).collect()}
+    for lang in ("en", "fr", None):
+        own = [found[i] for i, _, of in rows if of == lang]
+        steps = np.array([math.floor(r.log_perplexity * 1000 + 0.5) for r in own])
+        middle = np.median(steps)
+        reach = 4.0 * max(1.4826 * np.median(np.abs(steps - middle)) / 1000, 0.04)
+        for r in own:
+            more = 1.5 / math.sqrt(r.n_words)
+            inside = middle / 1000 - reach - more <= r.log_perplexity <= middle / 1000 + reach + more
+            assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+            assert r.kept == (inside and not r.base_failed)
+    assert not any(found[200 + i].kept for i in range(5)) and sum(r.kept for r in found.values()) > 100
+
+
 def test_ngram_counts_are_those_of_all_texts(spark):
     docs = spark.createDataFrame([("ab ab",), ("AB\tab",), (None,)], "text STRING")
     got = {r.gram: r.n for r in ngram_quality.count_ngrams(docs).collect()}
@@ -206,3 +275,21 @@ def test_toxicity_on_odd_and_empty_tables(spark, odd_docs, no_docs):
         found = toxicity.score(odd_docs, lexicon).collect()
         assert len(found) == odd_docs.count() and all(0 <= r.score <= 1 for r in found)
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
+
+
+def test_the_automaton_agrees_with_a_naive_matcher():
+    rnd = random.Random(17)
+    for _ in range(200):
+        text = " " + " ".join("".join(rnd.choices("ab", k=rnd.randint(1, 4))) for _ in range(30)) + " "
+        words = text.split()
+        terms = {f" {rnd.choice(words)[:rnd.randint(1, 4)]}{rnd.choice(['', ' '])}": round(rnd.uniform(1, 5), 3) for _ in range(8)}
+        places = [rnd.randrange(len(words) - 1) for _ in range(3)]
+        phrases = sorted({f" {words[i]} {words[i + 1]} " for i in places})
+        inside = {p for phrase in phrases for i in range(len(text)) if text.startswith(phrase, i) for p in range(i, i + len(phrase) - 1)}
+        expected = []
+        for start in range(len(text)):
+            found = [(weight, start + len(term) - 1) for term, weight in terms.items() if text.startswith(term, start)]
+            if found and start not in inside:
+                weight, end = max(found, key=lambda f: f[0])
+                expected.append((start, end, weight))
+        assert toxicity.Lexicon(terms, phrases).matches(text) == expected
