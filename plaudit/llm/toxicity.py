@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", key: str =
                 [key, "text", "label"])
 
     known = store(known.select(key, "text", "label").mapInArrow(folded, f"`{key}` {kind}, text string, label int"), f"{path}/folded")
-    parts = simhash.near_copies(known, key).toDF("_key", "_version", "part")
+    parts = simhash.near_copies(known, key).distinct().toDF("_key", "_version", "part")
     known = known.withColumn("version", simhash.text_version("text")).join(
         parts, (F.col(key) == F.col("_key")) & (F.col("version") == F.col("_version")))
     known = known.groupBy("part", "label").agg(F.min_by("text", F.struct(key, "version")).alias("text"))
