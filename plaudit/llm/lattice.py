@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plaudit.llm.common import remainder, split_words, texts
-from plaudit.scratch import new_path, store
+from plaudit.scratch import new_path, release, store
 
 # A piece of up to 8 bytes is looked up as one packed number, a longer one by a hash that goes on
 # from its first 8 bytes with this factor, and its bytes are compared then.
@@ -50,9 +50,14 @@ def _fits(piece: bytes) -> bool:
 
 @dataclass
 class Pieces:
-    """Vocabulary pieces by length, as sorted keys with their bytes, and natural log scores."""
+    """Beginnings of the vocabulary pieces by length, and natural log scores of the pieces.
+
+    For each length the sorted keys of all beginnings, the piece that each of them is (or -1), if
+    a longer piece goes on from it, and the bytes of each piece.
+    """
     keys: list[np.ndarray]
     ids: list[np.ndarray]
+    longer: list[np.ndarray]
     spelled: list[np.ndarray]
     scores: np.ndarray
     stop: float
@@ -65,42 +70,58 @@ class Pieces:
         word holds. All single bytes must be in the vocabulary, so every word has a segmentation.
         """
         tokens = sorted(filter(_fits, ranks), key=ranks.get)
-        keys, ids, spelled = [], [], []
-        for n in range(1, max(map(len, tokens)) + 1):
-            own = sorted((_piece_key(t), i) for i, t in enumerate(tokens) if len(t) == n)
-            if len({k for k, _ in own}) < len(own):
+        keys, ids, longer, spelled = [], [], [], []
+        most = max(map(len, tokens))
+        wholes, opens = [{} for _ in range(most + 1)], [set() for _ in range(most + 1)]
+        for i, token in enumerate(tokens):
+            if wholes[len(token)].setdefault(_piece_key(token), i) != i:
                 raise ValueError("two pieces of the vocabulary have one key")
-            keys.append(np.array([k for k, _ in own], np.uint64))
-            ids.append(np.array([i for _, i in own], np.int64))
-            spelled.append(np.frombuffer(b"".join(tokens[i] for _, i in own), np.uint8).reshape(-1, n))
+            for n in range(1, len(token)):
+                opens[n].add(_piece_key(token[:n]))
+        for n, (whole, open_) in enumerate(zip(wholes[1:], opens[1:]), 1):
+            own = sorted(whole.keys() | open_)
+            keys.append(np.array(own, np.uint64))
+            ids.append(np.array([whole.get(k, -1) for k in own], np.int64))
+            longer.append(np.array([k in open_ for k in own], bool))
+            letters = [tokens[whole[k]] if k in whole else bytes(n) for k in own]
+            spelled.append(np.frombuffer(b"".join(letters), np.uint8).reshape(-1, n) if n > PACKED else np.empty((0, n), np.uint8))
         weights = 1.0 / (10.0 + np.arange(len(tokens)))
-        return Pieces(keys, ids, spelled, np.log(0.8 * weights / weights.sum()), math.log(0.2))
+        return Pieces(keys, ids, longer, spelled, np.log(0.8 * weights / weights.sum()), math.log(0.2))
 
     def with_counts(self, counts: np.ndarray, words: float) -> Pieces:
         """Scores after a pass: expected counts plus a small share for every piece."""
         smooth = counts + 0.01
         total = smooth.sum() + words
-        return Pieces(self.keys, self.ids, self.spelled, np.log(smooth / total), math.log(max(words, 1e-9) / total))
+        return Pieces(self.keys, self.ids, self.longer, self.spelled, np.log(smooth / total), math.log(max(words, 1e-9) / total))
 
     def found(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(n, piece id or -1 at [word, start]) for words of one length; lengths that fit nowhere are left out."""
+        """(n, piece id or -1 at [word, start]) for words of one length; lengths that fit nowhere are left out.
+
+        A start is looked up for as long as a longer piece begins with what stands there.
+        """
         count, length = words.shape
         out = []
-        packed = np.zeros((count, length), np.uint64)
+        row, start = (a.ravel() for a in np.indices((count, length)))
+        packed = np.zeros(count * length, np.uint64)
         for n in range(1, min(len(self.keys), length) + 1):
-            own, last = packed[:, :length - n + 1], words[:, n - 1:]
-            packed = own | last << np.uint64(8 * (n - 1)) if n <= PACKED else own * np.uint64(FACTOR) + last
+            last = words[row, start + (n - 1)]
+            packed = packed | last << np.uint64(8 * (n - 1)) if n <= PACKED else packed * np.uint64(FACTOR) + last
             keys = self.keys[n - 1]
-            if not len(keys):
-                continue
             at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
-            fits = keys[at] == packed
+            begins = np.nonzero(keys[at] == packed)[0]
+            row, start, packed, at = row[begins], start[begins], packed[begins], at[begins]
+            piece = self.ids[n - 1][at]
             if n > PACKED:
-                row, start = np.nonzero(fits)
-                spelled = words[row[:, None], start[:, None] + np.arange(n)]
-                fits[row, start] = (spelled == self.spelled[n - 1][at[row, start]]).all(axis=1)
-            if fits.any():
-                out.append((n, np.where(fits, self.ids[n - 1][at], -1).astype(np.int32)))
+                same = (words[row[:, None], start[:, None] + np.arange(n)] == self.spelled[n - 1][at]).all(axis=1)
+                piece = np.where(same, piece, -1)
+            if (piece >= 0).any():
+                ids = np.full((count, length - n + 1), -1, np.int32)
+                ids[row, start] = piece
+                out.append((n, ids))
+            on = np.nonzero(self.longer[n - 1][at] & (start + n < length))[0]
+            row, start, packed = row[on], start[on], packed[on]
+            if not len(row):
+                break
         return out
 
     def forward(self, words: np.ndarray, found: list | None = None) -> tuple[np.ndarray, list]:
@@ -316,7 +337,7 @@ def _document_rows(docs: DataFrame, head: tuple[dict, np.ndarray], kind: str) ->
                 word += [w for w, _ in rare]
                 uses.append(0)
                 uses += [u for _, u in rare]
-                for column, first in ((base, sums[0]), (score, sums[1:].tolist()), (known, sum(times)), (count, len(tokens) + 1), (keys, key)):
+                for column, first in ((base, sums[1]), (score, sums[2:].tolist()), (known, int(sums[0])), (count, len(tokens) + 1), (keys, key)):
                     column.append(first)
                     column += [None] * len(rare)
                 if len(row) > 200_000:
@@ -371,10 +392,15 @@ def score_texts(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", t
     whole, *totals = [Totals(*[int(v or 0) for v in sums[i:i + 4]]) for i in range(0, 4 * len(each), 4)]
     pieces = fit_pieces(counts, [Pieces.existing(ranks)] * groups, passes if whole.tokens else 0)
     words = store(score_words(counts, pieces, totals, whole), f"{path}/words")
+    release(docs.sparkSession, f"{path}/counts")
     edge = max(1, -(-whole.tokens // head))
-    frequent = words.where(F.col("n") >= edge).collect() if whole.tokens else []
-    table = np.array([[r["base"], *r["score"]] for r in frequent], float).reshape(-1, groups + 1)
-    rows = _document_rows(plain, ({bytes(r["word"]): i for i, r in enumerate(frequent)}, table), kind)
+    frequent = {bytes(r["word"]): [1.0, r["base"], *r["score"]] for r in words.where(F.col("n") >= edge).collect()} if whole.tokens else {}
+    if END not in frequent:
+        # Nothing was learned, so no word count has the end.
+        none = np.zeros((1, groups), np.int64)
+        frequent[END] = [0.0, whole.base(np.zeros(1))[0], *token_scores([END], none, pieces, totals, whole)[0]]
+    table = np.array(list(frequent.values()), float)
+    rows = _document_rows(plain, ({word: i for i, word in enumerate(frequent)}, table), kind)
     rare = words.where(F.col("n") < edge).select("word", (F.col("n") > 0).cast("int").alias("known"), "base", "score")
     joined = rows.join(rare, "word", "left")
     found = joined.groupBy("row").agg(
