@@ -1,4 +1,4 @@
-"""Quality rules and the perplexity of a modified Kneser-Ney model over character n-grams."""
+"""Quality rules and the perplexity of a modified Kneser-Ney model over n-grams of spelled characters."""
 
 from __future__ import annotations
 
@@ -17,8 +17,12 @@ from plaudit.scratch import new_path, store
 # Characters counted as symbols, words of a repeat window, and the limits of the base rules.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 5, 10, 20
 
-# Order of the model and bits of a character class. The model has at most 2^(ORDER * BITS) n-grams
-# (16.8 million) of any order, however large the corpus: that bounds what is gathered and broadcast.
+# Stops, told apart behind a symbol that they share.
+STOPS = ".,;:'\"-()!?"
+
+# Order of the model and bits of a symbol; characters other than letters a-z are spelled in several symbols.
+# The model has at most 2^(ORDER * BITS) n-grams (16.8 million) of any order, however large the corpus:
+# that bounds what is gathered and broadcast.
 ORDER, BITS = 4, 6
 
 # A document is rejected when its log perplexity is further from its language's median than BAND
@@ -35,24 +39,43 @@ LEAST_SPREAD = 0.04
 STEPS = 1000
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point up to the last of the basic plane; beyond it one class.
+def _spellings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: its symbols packed into one number, how many they are, and whether it is a sign.
 
-    0 space, 1-26 letters a-z of either case, 27 digits, 28 stops, 29 symbols of the base rule,
-    30 ! and ?, 31 other ASCII, 32-63 all others, dealt out by their code.
+    Symbols: 0 space, 1-26 letters a-z of either case, 29 any symbol of the base rule. All other
+    characters are spelled, each in its own way: 27 and a digit; 28 and a stop; and by five bits a symbol
+    (32-63) two for the code points below 0x200, three below 0x3e00, 63 and three below 0xbe00, 31 and
+    three below 0x13e00, 30 and four for the rest. The first symbol tells where a character ends, so no
+    two texts are spelled alike but for case, symbols of the base rule and repeats of one sign.
     """
-    points = np.arange(0x10000, dtype=np.uint32)
-    table = (32 + (points * np.uint32(2654435761) >> np.uint32(27))).astype(np.uint8)
-    table[:128] = 31
+    points = np.arange(0x110000, dtype=np.uint32)
+    codes, sizes = np.zeros(len(points), np.uint32), np.zeros(len(points), np.uint8)
+    # First and last code point, first symbol (none: it has bits of the number too), symbols after it.
+    for low, high, lead, digits in ((0, 0x200, None, 2), (0x200, 0x3E00, None, 3), (0x3E00, 0xBE00, 63, 3),
+                                    (0xBE00, 0x13E00, 31, 3), (0x13E00, 0x110000, 30, 4)):
+        own = points[low:high] - np.uint32(low)
+        for i in range(digits):
+            digit = (own >> np.uint32(5 * (digits - 1 - i))) & np.uint32(31)
+            # Of the symbols that begin a number, 32-47 are for two and 48-62 for three.
+            first = 48 if lead is None and digits == 3 and i == 0 else 32
+            codes[low:high] = codes[low:high] << np.uint32(BITS) | (digit + np.uint32(first))
+        if lead is not None:
+            codes[low:high] |= np.uint32(lead << BITS * digits)
+        sizes[low:high] = digits + (lead is not None)
     for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = i + 1
-    for members, number in (("0123456789", 27), (".,;:'\"-()", 28), (SYMBOLS, 29), ("!?", 30), (SPACES, 0)):
+        codes[[ord("a") + i, ord("A") + i]], sizes[[ord("a") + i, ord("A") + i]] = i + 1, 1
+    for members, lead in (("0123456789", 27), (STOPS, 28)):
+        for i, char in enumerate(members):
+            codes[ord(char)], sizes[ord(char)] = lead << BITS | 32 + i, 2
+    for members, symbol in ((SYMBOLS, 29), (SPACES, 0)):
         for char in members:
-            table[ord(char)] = number
-    return table
+            codes[ord(char)], sizes[ord(char)] = symbol, 1
+    signs = np.zeros(len(points), bool)
+    signs[[i for i in range(128) if not chr(i).isalnum() and chr(i) not in SPACES]] = True
+    return codes, sizes, signs
 
 
-_CLASSES = _classes()
+_CODES, _SIZES, _SIGNS = _spellings()
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -88,20 +111,30 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def ngram_keys(text: bytes, order: int = ORDER) -> np.ndarray:
-    """Packed n-grams of the words of a text, one space before, between and after them.
+    """Packed n-grams of the symbols that spell the words of a text, one space before, between and after them.
 
-    Neighbours of one class that are not letters count as one character, so a run of signs does
-    not look predictable. The text starts with ``order - 1`` spaces of context, so every character after has a full n-gram.
+    Neighbours of one sign count as one, so a run of signs does not look predictable. The text
+    starts with ``order - 1`` spaces of context, so every symbol after has a full n-gram.
     """
     words = split_words(text)
     if not words:
         return np.empty(0, np.int64)
     points = np.frombuffer(b" ".join(words).decode().encode("utf-32-le"), np.uint32)
-    classes = _CLASSES[np.minimum(points, 0xFFFF)]
-    letters = ((classes > 0) & (classes < 27)) | (classes > 31)
-    classes = classes[np.concatenate([[True], letters[1:] | (classes[1:] != classes[:-1])])]
-    row = np.zeros(len(classes) + order, np.int64)
-    row[order - 1:-1] = classes
+    codes, again = _CODES[points], _SIGNS[points]
+    again[1:] &= codes[1:] == codes[:-1]
+    again[0] = False
+    sizes = _SIZES[points]
+    if again.any():
+        codes, sizes = codes[~again], sizes[~again]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    symbols = np.empty(ends[-1], np.int64)
+    # From the last symbol of each character to its first.
+    symbols[ends - 1] = codes & 63
+    for i in range(1, int(sizes.max())):
+        longer = np.nonzero(sizes > i)[0]
+        symbols[ends[longer] - 1 - i] = codes[longer] >> np.uint32(BITS * i) & np.uint32(63)
+    row = np.zeros(len(symbols) + order, np.int64)
+    row[order - 1:-1] = symbols
     keys = row[:len(row) - order + 1].copy()
     for i in range(1, order):
         keys = keys << BITS | row[i:len(row) - order + 1 + i]
