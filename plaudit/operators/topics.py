@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plaudit.functions import tokens as tok
 from plaudit.operators.words import rank_by_count
@@ -16,8 +18,15 @@ from plaudit.scratch import new_path, release, store
 # Topics, words shown per topic and sweeps over the corpus.
 TOPICS, TOPIC_WORDS, SWEEPS = 5, 5, 20
 
-# Words of the documents that make up one block, about: what one task holds at a time.
-BLOCK_WORDS = 200_000
+# Words of the documents that make up one block, about: what one task holds at a time. Small corpora have
+# smaller blocks, down to the second number, so that all cores have some.
+BLOCK_WORDS, LEAST_BLOCK_WORDS = 3_000_000, 200_000
+
+# Words of the corpus for each part of the vocabulary: a part adds up the numbers of at most so many words.
+PART_WORDS = 2_000_000
+
+# Entries of documents whose topic shares are found together.
+STRETCH = 30_000
 
 # Most rounds for the topic shares of the documents of a block, and the mean change that ends them.
 ROUNDS, CHANGE = 50, 1e-3
@@ -74,14 +83,19 @@ class TopicModel:
         return self.table.sparkSession.createDataFrame(rows, f"`{self.by}` STRING, topic INT, doc_prior DOUBLE")
 
 
-def _blocks(docs: DataFrame, tokens: str, by: str, block_words: int) -> DataFrame:
-    """(class, block, doc, place, n, terms): documents dealt into blocks by hash, as packed arrays.
+def _block_words(total: int, cores: int) -> int:
+    """Words of a block: fewer blocks share more terms, but there are enough of them for all cores."""
+    return min(BLOCK_WORDS, max(LEAST_BLOCK_WORDS, total // (3 * cores)))
+
+
+def _blocks(docs: DataFrame, tokens: str, by: str, count: int, parts: int) -> DataFrame:
+    """(class, block, part, doc, place, n, terms): documents dealt into blocks by hash, as packed arrays.
 
-    ``terms`` are the distinct terms of a block; the other three have one entry for each document
-    and term. A document without words has nothing to learn from and is in no block.
+    The row with part -1 has one entry for each document and term of the block. The other rows have
+    the block's distinct terms that fall into a part by their hash; ``place`` is a term's place in all
+    of these, one part after the other. A document without words has nothing to learn from and is in no block.
     """
-    total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
-    dealt = docs.select(by, F.pmod(F.xxhash64(tokens), F.lit(-(-total // block_words) or 1)).alias("block"),
+    dealt = docs.select(by, F.pmod(F.xxhash64(tokens), F.lit(count)).alias("block"),
                         tok.bag(F.col(tokens)).alias("bag")).where("size(bag) > 0")
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -89,16 +103,50 @@ def _blocks(docs: DataFrame, tokens: str, by: str, block_words: int) -> DataFram
         bags = rows.column("bag").chunk(0)
         entries = bags.flatten()
         named = entries.field("term").dictionary_encode()
+        terms = named.dictionary.to_pylist()
+        part = np.array([crc32(t.encode()) % parts for t in terms], np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(terms), np.int32)
+        place[order] = np.arange(len(terms), dtype=np.int32)
         sizes = np.diff(bags.offsets.to_numpy())
         doc = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
-        packed = [doc, named.indices.to_numpy().astype(np.int32), entries.field("n").to_numpy().astype(np.int32)]
+        packed = [doc, place[named.indices.to_numpy()], entries.field("n").to_numpy().astype(np.int32)]
+        used, starts = np.unique(part[order], return_index=True)
+        ordered = named.dictionary.take(pa.array(order))
+        offsets = np.concatenate([[0, 0], starts[1:], [len(terms)]]).astype(np.int32)
+        height = len(used) + 1
         return pa.table({
-            by: rows.column(by).slice(0, 1), "block": rows.column("block").slice(0, 1),
-            **{name: pa.array([a.tobytes()], pa.binary()) for name, a in zip(("doc", "place", "n"), packed)},
-            "terms": pa.array([named.dictionary.to_pylist()], pa.list_(pa.string()))})
+            by: pa.array([rows.column(by)[0].as_py()] * height, pa.string()),
+            "block": pa.array([rows.column("block")[0].as_py()] * height, pa.int64()),
+            "part": pa.array([-1, *used.tolist()], pa.int64()),
+            **{name: pa.array([a.tobytes()] + [None] * len(used), pa.binary()) for name, a in zip(("doc", "place", "n"), packed)},
+            "terms": pa.ListArray.from_arrays(pa.array(offsets), ordered)})
 
     return dealt.groupBy(by, "block").applyInArrow(
-        pack, f"`{by}` string, block long, doc binary, place binary, n binary, terms array<string>")
+        pack, f"`{by}` string, block long, part long, doc binary, place binary, n binary, terms array<string>")
+
+
+def _vocabulary(blocks: DataFrame, by: str) -> DataFrame:
+    """(class, block, part, index, terms): every block's terms as numbers in their part of the vocabulary.
+
+    The terms of a part are in the row with block -1.
+    """
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists = rows.column("terms").chunk(0)
+        named = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        cuts = np.split(named.indices.to_numpy().astype(np.int32), np.cumsum(sizes)[:-1])
+        height = len(rows) + 1
+        return pa.table({
+            by: pa.array([rows.column(by)[0].as_py()] * height, pa.string()),
+            "block": pa.concat_arrays([rows.column("block").chunk(0), pa.array([-1], pa.int64())]),
+            "part": pa.array([rows.column("part")[0].as_py()] * height, pa.int64()),
+            "index": pa.array([c.tobytes() for c in cuts] + [None], pa.binary()),
+            "terms": pa.array([None] * len(rows) + [named.dictionary.to_pylist()], pa.list_(pa.string()))})
+
+    return blocks.where("part >= 0").select(by, "block", "part", "terms").groupBy(by, "part").applyInArrow(
+        number, f"`{by}` string, block long, part long, index binary, terms array<string>")
 
 
 def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarray, prior: np.ndarray):
@@ -107,10 +155,38 @@ def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarra
     ``doc`` rises; ``weights`` are exp(E[log beta]) of the block's terms. Returns the expected
     uses of each term in each topic, and the sum over the documents of E[log theta].
     """
-    # One row a topic: sums over the entries of a document are then runs of one array.
+    uses, log_sums, gamma = expect_from(doc, place, n, weights, prior)
+    return uses, log_sums, gamma.shape[1]
+
+
+def expect_from(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarray, prior: np.ndarray,
+                gamma: np.ndarray | None = None):
+    """As ``expect``, from the topic shares ``gamma`` (topics, documents) of a sweep before, if given.
+
+    Returns the uses, the sums and the new ``gamma``. Stretches of whole documents are taken in turn,
+    as many as a processor's cache holds; the rounds of each go on until its own mean change is small.
+    """
     starts = np.nonzero(np.diff(doc, prepend=-1))[0]
-    sizes = np.diff(np.append(starts, len(doc)))
-    own = np.ascontiguousarray(weights[place].T)
+    ends = np.append(starts[1:], len(doc))
+    found = np.empty((len(prior), len(starts)))
+    uses, log_sums = np.zeros((len(prior), len(weights))), np.zeros(len(prior))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, side="right")))
+        low, high = starts[first], ends[last - 1]
+        own, logs, found[:, first:last] = _rounds(
+            starts[first:last] - low, ends[first:last] - starts[first:last], n[low:high], weights[place[low:high]], prior,
+            None if gamma is None else gamma[:, first:last])
+        for i, use in enumerate(own):
+            uses[i] += np.bincount(place[low:high], use, len(weights))
+        log_sums += logs
+        first = last
+    return uses.T, log_sums, found
+
+
+def _rounds(starts: np.ndarray, sizes: np.ndarray, n: np.ndarray, weights: np.ndarray, prior: np.ndarray, gamma: np.ndarray | None):
+    # One row a topic: sums over the entries of a document are then runs of one array.
+    own = np.ascontiguousarray(weights.T)
 
     def shared(theta: np.ndarray) -> np.ndarray:
         """Count of each entry over its sum over the topics."""
@@ -119,7 +195,8 @@ def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarra
     def log_shares(gamma: np.ndarray) -> np.ndarray:
         return digamma(gamma) - digamma(gamma.sum(axis=0))
 
-    gamma = prior[:, None] + np.add.reduceat(n, starts) / len(prior)
+    if gamma is None:
+        gamma = prior[:, None] + np.add.reduceat(n, starts) / len(prior)
     for _ in range(ROUNDS):
         theta = np.exp(log_shares(gamma))
         ratio = shared(theta)
@@ -131,8 +208,7 @@ def expect(doc: np.ndarray, place: np.ndarray, n: np.ndarray, weights: np.ndarra
     log_theta = log_shares(gamma)
     theta = np.exp(log_theta)
     ratio = shared(theta)
-    uses = [np.bincount(place, np.repeat(t, sizes) * w * ratio, len(weights)) for t, w in zip(theta, own)]
-    return np.stack(uses, axis=1), log_theta.sum(axis=1), len(starts)
+    return [np.repeat(t, sizes) * w * ratio for t, w in zip(theta, own)], log_theta.sum(axis=1), gamma
 
 
 def new_prior(prior: np.ndarray, mean_log: np.ndarray, documents: int) -> np.ndarray:
@@ -148,64 +224,131 @@ def new_prior(prior: np.ndarray, mean_log: np.ndarray, documents: int) -> np.nda
 
 def fit_topics(
     docs: DataFrame, tokens: str = "tokens", by: str = "polarity", classes: Sequence[str] = ("pos", "neg"),
-    k: int = TOPICS, sweeps: int = SWEEPS, seed: int = 7, block_words: int = BLOCK_WORDS,
+    k: int = TOPICS, sweeps: int = SWEEPS, seed: int = 7, block_words: int | None = None,
 ) -> TopicModel:
     """Latent topics of each class by variational sweeps over all documents, with a learned document prior.
 
-    The weights of terms in topics are a stored table. In a sweep the blocks of documents get the
-    rows of their own terms by a join, find the topic shares of every document in turn, and give
-    out the expected uses of their terms, which are added up by term: no task and not the driver
-    holds all terms. Every document is in every sweep. A sweep is written before the next, so a
-    lost executor repeats one sweep at most; the table before it is deleted. Pass stored tokens.
-    Rows of other classes and rows without words take no part; a class without words has no topic.
+    The vocabulary is dealt into parts. In a sweep every block of documents gets the weights of its
+    own terms from the parts, finds the topic shares of every document in turn, going on from those
+    of the sweep before, and gives out the expected uses of its terms, which every part adds up: no
+    task and not the driver holds all terms. A row is the numbers of one block and one part, so
+    what is shuffled is arrays and not terms. Every document is in every sweep. A sweep is written
+    before the next, so a lost executor repeats one sweep at most; the one before it is deleted.
+    Pass stored tokens. Rows of other classes and rows without words take no part; a class without
+    words has no topic.
     """
     spark = docs.sparkSession
     path = new_path(spark, "topics")
-    blocks = store(_blocks(docs.where(F.col(by).isin(list(classes))), tokens, by, block_words), f"{path}/blocks")
-    asked = store(blocks.select(by, "block", F.posexplode("terms").alias("place", "term")), f"{path}/asked")
+    docs = docs.where(F.col(by).isin(list(classes)))
+    cores = spark.sparkContext.defaultParallelism
+    total = docs.agg(F.sum(F.size(tokens))).first()[0] or 0
+    count = -(-total // (block_words or _block_words(total, cores))) or 1
+    parts = max(2 * cores, -(-total // PART_WORDS))
+    blocks = store(_blocks(docs, tokens, by, count, parts), f"{path}/blocks")
+    vocabulary = store(_vocabulary(blocks, by), f"{path}/vocabulary")
     names = [f"w{i}" for i in range(k)]
     prior_weight = 1.0 / k
+    sums = ", ".join(f"{n} double" for n in names)
+
     # Hashes of term and topic give every topic its own start.
-    start = [(F.lit(prior_weight) + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(name)
-             for i, name in enumerate(names)]
-    model = TopicModel(by, k, store(asked.select(by, "term").distinct().select(by, "term", *start), f"{path}/sweep-0"), {}, {})
-    sums = model.table.groupBy(by).agg(*[F.sum(c).alias(c) for c in names]).collect()
-    model.totals = {r[by]: np.array([r[c] for c in names]) for r in sums}
+    def start(topic: int) -> Column:
+        return F.transform("terms", lambda t: F.lit(prior_weight) + F.pmod(F.xxhash64(t, F.lit(seed), F.lit(topic)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+
+    starts = [start(i).alias(name) for i, name in enumerate(names)]
+
+    def begin(rows: pa.Table) -> pa.Table:
+        """The start of a part, dealt out like its weights after a sweep."""
+        rows = rows.combine_chunks()
+        whole = [i for i, b in enumerate(rows.column("block").to_pylist()) if b < 0][0]
+        weights = np.stack([rows.column(c)[whole].values.to_numpy() for c in names])
+        return deal(rows, weights)
+
+    def deal(rows: pa.Table, weights: np.ndarray) -> pa.Table:
+        asked = rows.filter(pc.greater_equal(rows.column("block"), 0))
+        index = asked.column("index").to_pylist()
+        height = len(asked) + 1
+        return pa.table({
+            by: pa.array([rows.column(by)[0].as_py()] * height, pa.string()),
+            "block": pa.array([*asked.column("block").to_pylist(), -1], pa.int64()),
+            "part": pa.array([rows.column("part")[0].as_py()] * height, pa.int64()),
+            "index": pa.array([*index, None], pa.binary()),
+            "value": pa.array([*[weights[:, np.frombuffer(i, np.int32)].tobytes() for i in index], weights.tobytes()], pa.binary()),
+            **{c: pa.array([None] * len(asked) + [float(weights[i].sum())], pa.float64()) for i, c in enumerate(names)},
+            "documents": pa.nulls(height, pa.int64())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        """The new weights of a part, dealt out to the blocks that use them."""
+        if rows.column("part")[0].as_py() < 0:
+            return rows
+        uses = [(np.frombuffer(i, np.int32), np.frombuffer(v).reshape(k, -1))
+                for i, v in zip(rows.column("index").to_pylist(), rows.column("value").to_pylist())]
+        weights = np.full((k, 1 + max(int(i.max()) for i, _ in uses)), prior_weight)
+        for index, value in uses:
+            weights[:, index] += value
+        return deal(rows, weights)
+
+    # Rows with a block and a part have the weights of the block's terms; without a block (-1) those of the
+    # whole part and their sums; without a part (-1) the topic shares and sums of the block's documents.
+    schema = f"`{by}` string, block long, part long, index binary, value binary, {sums}, documents long"
+    first = vocabulary.select(by, "block", "part", "index", *starts).groupBy(by, "part").applyInArrow(begin, schema)
+    model = TopicModel(by, k, store(first, f"{path}/sweep-0"), {}, {})
+
+    def totals_of(table: DataFrame) -> list:
+        found = table.where("block < 0 OR part < 0").groupBy(by, (F.col("part") < 0).alias("over"))
+        return found.agg(*[F.sum(c).alias(c) for c in (*names, "documents")]).collect()
+
+    model.totals = {r[by]: np.array([r[c] for c in names]) for r in totals_of(model.table)}
     model.priors = {name: np.full(k, 1.0 / k) for name in model.totals}
-    schema = f"`{by}` string, term string, " + ", ".join(f"{n} double" for n in names) + ", documents long"
+    entries = blocks.where("part < 0").select(by, "block", "doc", "place", "n")
 
     for sweep in range(1, sweeps + 1):
         totals, priors = model.totals, model.priors
 
-        def run(rows: pa.Table, terms: pa.Table) -> pa.Table:
-            name = rows.column(by)[0].as_py()
+        def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+            name, block = rows.column(by)[0].as_py(), rows.column("block")[0].as_py()
             doc, place, n = (np.frombuffer(rows.column(c)[0].as_py(), np.int32) for c in ("doc", "place", "n"))
-            order = np.argsort(terms.column("place").to_numpy())
-            weights = np.stack([terms.column(c).to_numpy() for c in names], axis=1)[order]
-            uses, logs, documents = expect(
-                doc, place, n.astype(float), np.exp(digamma(weights) - digamma(totals[name])), priors[name])
+            given = given.sort_by("part")
+            held, values = given.column("part").to_pylist(), [np.frombuffer(v).reshape(k, -1) for v in given.column("value").to_pylist()]
+            gamma = values.pop(0) if held[0] < 0 else None
+            weights = np.concatenate(values, axis=1).T
+            uses, logs, gamma = expect_from(
+                doc, place, n.astype(float), np.exp(digamma(weights) - digamma(totals[name])), priors[name], gamma)
+            cuts = np.split(uses.T, np.cumsum([v.shape[1] for v in values])[:-1], axis=1)
+            used = given.slice(len(held) - len(values))
+            height = len(values) + 1
             return pa.table({
-                by: pa.array([name] * (len(uses) + 1), pa.string()),
-                "term": pa.concat_arrays([terms.column("term").combine_chunks().take(pa.array(order)), pa.nulls(1, pa.string())]),
-                **{c: np.append(uses[:, i], logs[i]) for i, c in enumerate(names)},
-                "documents": pa.array([0] * len(uses) + [documents], pa.int64())})
-
-        given = asked.join(model.table.select(by, "term", *names), [by, "term"])
-        met = blocks.drop("terms").groupBy(by, "block").cogroup(given.groupBy(by, "block")).applyInArrow(run, schema)
-        # The row without a term carries the sums over the documents.
-        summed = store(met.groupBy(by, "term").agg(
-            *[(F.sum(c) + F.when(F.col("term").isNotNull(), prior_weight).otherwise(0.0)).alias(c) for c in names],
-            F.sum("documents").alias("documents")), f"{path}/sweep-{sweep}")
-        model.table = summed.where("term IS NOT NULL").drop("documents")
-        sums = summed.groupBy(by, F.isnull("term").alias("over")).agg(
-            *[F.sum(c).alias(c) for c in (*names, "documents")]).collect()
-        model.totals = {r[by]: np.array([r[c] for c in names]) for r in sums if not r["over"]}
-        over = {r[by]: r for r in sums if r["over"]}
+                by: pa.array([name] * height, pa.string()),
+                "block": pa.array([block] * height, pa.int64()),
+                "part": pa.array([-1, *used.column("part").to_pylist()], pa.int64()),
+                "index": pa.array([None, *used.column("index").to_pylist()], pa.binary()),
+                "value": pa.array([gamma.tobytes(), *[c.tobytes() for c in cuts]], pa.binary()),
+                **{c: pa.array([logs[i]] + [None] * len(values), pa.float64()) for i, c in enumerate(names)},
+                "documents": pa.array([gamma.shape[1]] + [None] * len(values), pa.int64())})
+
+        given = model.table.where("block >= 0").select(by, "block", "part", "index", "value")
+        met = entries.groupBy(by, "block").cogroup(given.groupBy(by, "block")).applyInArrow(run, schema)
+        # The rows of the documents are groups of their own, by block, and pass as they are.
+        own = F.when(F.col("part") < 0, F.col("block")).otherwise(-1)
+        model.table = store(met.groupBy(by, "part", own.alias("_block")).applyInArrow(add, schema), f"{path}/sweep-{sweep}")
+        found = totals_of(model.table)
+        model.totals = {r[by]: np.array([r[c] for c in names]) for r in found if not r["over"]}
+        over = {r[by]: r for r in found if r["over"]}
         model.documents.append({name: r["documents"] for name, r in over.items()})
         model.priors = {name: new_prior(priors[name], np.array([r[c] for c in names]) / r["documents"], r["documents"])
                         for name, r in over.items()}
         release(spark, f"{path}/sweep-{sweep - 1}")
-    release(spark, f"{path}/blocks", f"{path}/asked")
+
+    def name_terms(terms: pa.Table, weights: pa.Table) -> pa.Table:
+        listed = terms.column("terms").combine_chunks().flatten()
+        found = np.frombuffer(weights.column("value")[0].as_py()).reshape(k, -1)
+        return pa.table({by: pa.array([terms.column(by)[0].as_py()] * len(listed), pa.string()), "term": listed,
+                         **{c: found[i] for i, c in enumerate(names)}})
+
+    listed = vocabulary.where("block < 0").select(by, "part", "terms")
+    last = model.table.where("block < 0").select(by, "part", "value")
+    model.table = store(listed.groupBy(by, "part").cogroup(last.groupBy(by, "part")).applyInArrow(
+        name_terms, f"`{by}` string, term string, {sums}"), f"{path}/table")
+    release(spark, f"{path}/blocks", f"{path}/vocabulary", f"{path}/sweep-{sweeps}")
     return model
 
 

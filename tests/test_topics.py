@@ -108,3 +108,36 @@ def test_odd_documents(spark):
     assert model.documents == [{"pos": 2}] * 2
     empty = topics.lda_topics(spark.createDataFrame([], "polarity STRING, tokens ARRAY<STRING>"), sweeps=2)
     assert topics.topic_words(empty).count() == 0 and topics.topic_summary(empty).count() == 0
+
+
+def test_terms_of_blocks_travel_as_numbers_of_a_part(docs):
+    """One row for a block and a part, and with the parts' terms the documents' counts again."""
+    blocks = topics._blocks(docs.where("polarity = 'pos'"), "tokens", "polarity", 3, 4).cache()
+    rows = topics._vocabulary(blocks, "polarity").collect()
+    named = {r.part: r.terms for r in rows if r.block < 0}
+    assert sorted(t for terms in named.values() for t in terms) == sorted(t for words in THEMES.values() for t in words)
+    assert len(rows) <= 3 * 4 + 4
+    counts = {}
+    for r in blocks.where("part < 0").collect():
+        own = [named[v.part][i] for v in sorted((v for v in rows if v.block == r.block), key=lambda v: v.part)
+               for i in np.frombuffer(v["index"], np.int32)]
+        for place, n in zip(np.frombuffer(r.place, np.int32), np.frombuffer(r.n, np.int32)):
+            counts[own[place]] = counts.get(own[place], 0) + int(n)
+    expected = {}
+    for r in docs.where("polarity = 'pos'").collect():
+        for t in r.tokens:
+            expected[t] = expected.get(t, 0) + 1
+    assert counts == expected
+
+
+def test_shares_go_on_from_the_sweep_before(monkeypatch):
+    rng = np.random.default_rng(9)
+    doc = np.repeat(np.arange(50, dtype=np.int32), 20)
+    place, n = rng.integers(0, 200, 1000).astype(np.int32), rng.integers(1, 4, 1000).astype(float)
+    weights, prior = rng.dirichlet(np.full(200, 0.1), 5).T + 1e-9, np.full(5, 0.2)
+    uses, logs, gamma = topics.expect_from(doc, place, n, weights, prior)
+    monkeypatch.setattr(topics, "STRETCH", 100)
+    again, more, _ = topics.expect_from(doc, place, n, weights, prior, gamma)
+    assert np.allclose(uses, again, atol=0.3) and np.allclose(logs, more, atol=1.0) and uses.sum() == pytest.approx(n.sum())
+    monkeypatch.setattr(topics, "ROUNDS", 2)
+    assert np.allclose(topics.expect_from(doc, place, n, weights, prior, gamma)[0], again, atol=0.3)
