@@ -168,9 +168,12 @@ WHERE place <= n_terms"""))
 def topic_words(spark, sf_dir):
     """What holds for every right model: words of the class's own stems, weights falling from a positive one."""
     tokens = materialize(_review_tokens(spark, sf_dir), "review-tokens")
-    stems = tokens.select("polarity", F.explode("tokens").alias("term")).distinct().withColumn("found", F.lit(True))
     before = Window.partitionBy("polarity", "topic").orderBy("rank")
     falling = (F.col("weight") > 0) & (F.col("weight") <= F.coalesce(F.lag("weight").over(before), F.lit(1.0)))
-    return (topics.topic_words(topics.lda_topics(tokens)).withColumn("falling", falling)
-            .join(stems, ["polarity", "term"], "left")
+    shown = materialize(topics.topic_words(topics.lda_topics(tokens)).withColumn("falling", falling), "topic-words")
+    # All tokens are read, and only those that are shown go on to the distinct.
+    asked = F.broadcast(shown.select("polarity", "term").distinct())
+    stems = (tokens.select("polarity", F.explode("tokens").alias("term")).join(asked, ["polarity", "term"], "left_semi")
+             .distinct().withColumn("found", F.lit(True)))
+    return (shown.join(stems, ["polarity", "term"], "left")
             .select("polarity", "topic", "rank", F.coalesce("found", F.lit(False)).alias("known"), "falling"))
