@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaudit import schemas
@@ -12,15 +15,37 @@ RECORD_END = "\x1e"
 _PLAIN_PATH = r"([^/]+)/([^/]+)\.txt$"
 
 
+# Splits of the reader that one task reads.
+TASK_SPLITS = 64
+
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+
+
+@contextmanager
+def _listed_in_tasks(spark: SparkSession) -> Iterator[None]:
+    """Readers made in the block list their folders in tasks, also when these are few with many files."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before)
+
+
 def read_review_text_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The (reviews, rejects) of a tree of files; stray files are skipped.
 
     A file with fewer than nine fields is a reject; tabs inside a review cut it, as the fields
-    are told apart by tabs alone.
+    are told apart by tabs alone. Folders are listed in tasks. The reader counts every file as megabytes,
+    so it would make a task of some dozens; these are put together to tasks of ``TASK_SPLITS`` of them.
     """
-    files = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-             .select("value", F.col("_metadata.file_path").alias("path"))
+    with _listed_in_tasks(spark):
+        texts = (spark.read.option("recursiveFileLookup", True)
+                 .option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+                 .select("value", F.col("_metadata.file_path").alias("path")))
+    splits = texts.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    files = (texts.coalesce(max(4 * cores, -(-splits // TASK_SPLITS)))
              .select("value", "path",
                      F.regexp_extract("path", _PLAIN_PATH, 1).alias("dir"),
                      F.regexp_extract("path", _PLAIN_PATH, 2).alias("file")))

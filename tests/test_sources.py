@@ -399,3 +399,18 @@ def test_csv_round_trip_of_random_texts(spark, tmp_path):
     got = {r.id: r.text for r in back.collect()}
     assert [(i, t, got.get(i)) for i, t in rows if got.get(i, "gone") != t] == []
     assert len(got) == len(rows)
+
+
+def test_many_small_review_files_are_read_in_few_tasks(spark, tmp_path):
+    """The reader alone makes a task of each 32 files; every file is read once, and the session is left as it was."""
+    fields = "\t".join(["p", "u", "5", "a", "e", "h", "s", "t", "text"])
+    for i in range(6):
+        (tmp_path / "tree" / str(i)).mkdir(parents=True)
+        for j in range(400):
+            (tmp_path / "tree" / str(i) / f"{j}.txt").write_text(f"{fields} {i} {j}")
+    name = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(name)
+    rows, rejects = review_files.read_review_text_files(spark, str(tmp_path / "tree"))
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.dir, r.file, r.review) for r in rows.collect()} == {(str(i), str(j), f"text {i} {j}") for i in range(6) for j in range(400)}
+    assert rejects.count() == 0 and spark.conf.get(name) == before
