@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from conftest import plan_of
 from hypothesis import given, settings, strategies as st
@@ -195,3 +196,17 @@ def test_bag_of_words_with_a_hot_term_is_split_and_whole(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stems_kept_by_a_task_are_bounded(monkeypatch):
+    from plaudit.functions import stem
+    monkeypatch.setattr(stem, "SLICE_WORDS", 30)
+    monkeypatch.setattr(stem, "KNOWN_WORDS", 100)
+    known, most = {}, []
+    plain = stem.stem_word
+    monkeypatch.setattr(stem, "stem_word", lambda word: most.append(len(known)) or plain(word))
+    listed = [f"run{chr(97 + i % 26)}{chr(97 + i // 26)}ing" for i in range(500)] * 2
+    stems = stem._stem_distinct(pa.array([*listed, None, ""]), known)
+    assert stems.to_pylist() == [*map(plain, listed), None, ""]
+    assert len(known) <= 100 and max(most) < 100
+    assert stem._stem_distinct(pa.array([], pa.string()), known).to_pylist() == []
