@@ -4,6 +4,7 @@ import random
 from contextlib import contextmanager
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F, types as T
 
 from plaudit import schemas
@@ -414,3 +415,45 @@ def test_many_small_review_files_are_read_in_few_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert {(r.dir, r.file, r.review) for r in rows.collect()} == {(str(i), str(j), f"text {i} {j}") for i in range(6) for j in range(400)}
     assert rejects.count() == 0 and spark.conf.get(name) == before
+
+
+def test_review_file_names_stay_in_tasks(spark, tmp_path, monkeypatch):
+    """Spark's reader would hold every name on the driver. Names that it leaves out are left out, at any depth and batch size."""
+    monkeypatch.setattr(review_files, "BATCH_ROWS", 2, raising=False)
+    monkeypatch.setattr(review_files, "BATCH_BYTES", 40, raising=False)
+    fields = "\t".join("puraehst")
+    names = ["1/1", "1/2", "1/3", "1/_a=4", "d.txt/5", "deep/er/6 é%", "7", "_k=1/8"]
+    for name in [*names, "1/.9", "1/_10", "_h/11", ".h/12"]:
+        place = tmp_path / "a tree" / f"{name}.txt"
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(f"{fields}\tof {name}")
+    for name, text in (("1/13.TXT", "x"), ("1/14.txt.md", "x"), ("1/15.txt", ""), ("1/16.txt", "short")):
+        (tmp_path / "a tree" / name).write_text(text)
+    (tmp_path / "a tree" / "empty").mkdir()
+    (tmp_path / "a tree" / "1" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    rows, rejects = review_files.read_review_text_files(spark, str(tmp_path / "a tree"))
+    assert not [name for df in (rows, rejects) for name in df.inputFiles() if name.endswith(".txt")]
+    expected = {(f"a%20tree/{name}".split("/")[-2], name.split("/")[-1].replace("%", "%25").replace(" ", "%20"), f"of {name}") for name in names}
+    assert {(r.dir, r.file, r.review) for r in rows.collect()} == expected and rows.count() == len(names)
+    assert [tuple(r) for r in rejects.collect()] == [(f"file:{tmp_path}/a%20tree/1/16.txt", "short", 1)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        review_files.read_review_text_files(spark, str(tmp_path / "no tree"))
+    assert review_files.read_review_text_files(spark, str(tmp_path / "a tree" / "empty"))[0].count() == 0
+
+
+def test_folders_of_other_stores_are_listed(tmp_path):
+    (tmp_path / "x" / "sub").mkdir(parents=True)
+    (tmp_path / "x" / "1.txt").write_text("a")
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    assert sorted(review_files._children(store, "x")) == [("x/1.txt", False), ("x/sub", True)]
+
+
+def test_a_store_without_arrow_is_read_by_spark(spark, tmp_path, monkeypatch):
+    def closed(path):
+        raise OSError("no such library")
+
+    (tmp_path / "1").mkdir()
+    (tmp_path / "1" / "2.txt").write_text("\t".join("puraehst") + "\ttext")
+    monkeypatch.setattr(review_files, "file_place", closed)
+    rows, rejects = review_files.read_review_text_files(spark, str(tmp_path))
+    assert [(r.dir, r.file, r.review) for r in rows.collect()] == [("1", "2", "text")] and rejects.count() == 0
