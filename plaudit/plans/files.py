@@ -8,7 +8,7 @@ from plaudit import schemas
 from plaudit.operators import numbering, search, summary, words
 from plaudit.plans import bindings as b
 from plaudit.plans.registry import query
-from plaudit.scratch import materialize, new_path
+from plaudit.scratch import materialize, new_path, release, release_tree, store
 from plaudit.sinks import csv as csv_sink, review_files as file_sink, terms as term_sink
 from plaudit.sources import csv as csv_source, pages, payloads, review_files, tables
 
@@ -267,9 +267,14 @@ def convert_review_files(spark, sf_dir):
     rows = full_reviews(spark, sf_dir).withColumn("folder", F.substring("productID", 4, 9))
     file_sink.write_review_file_tree(rows, f"{path}/tree", "folder", "fileIndex")
     # The numbering reads the names and the rows: opening a file per review is paid once.
-    found = materialize(review_files.read_review_text_files(spark, f"{path}/tree")[0], "found")
+    found = store(review_files.read_review_text_files(spark, f"{path}/tree")[0], f"{path}/found")
+    release_tree(spark, f"{path}/tree")
     numbered = numbering.number_reviews(found)[0].select("fileIndex", *schemas.REVIEW_FIELDS)
-    return rollover(materialize(numbered, "numbered"), f"{path}/parts")
+    numbered = store(numbered, f"{path}/numbered")
+    release(spark, f"{path}/found")
+    parts = rollover(numbered, f"{path}/parts")
+    release(spark, f"{path}/numbered")
+    return parts
 
 
 @query("sink_review_text_dirs", b.with_views(b.V_REVIEWS, body=f"""

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,30 @@ def release(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def release_tree(spark: SparkSession, path: str) -> None:
+    """Delete a tree with many files: its folders by tasks, as the driver would hold the names of a whole folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(place)
+    folders = []
+    while found.hasNext():
+        status = found.next()
+        if status.isDirectory():
+            folders.append((status.getPath().getName(),))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_place(path)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                # A repeated task may find that a folder is gone.
+                if system.get_file_info(f"{root}/{name}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{root}/{name}")
+            yield batch
+
+    tasks = max(1, min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+    spark.createDataFrame(folders, "name string").repartition(tasks).mapInArrow(run, "name string").count()
+    release(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession, label: str) -> Iterator[str]:
     """A folder for stored tables that is deleted at the end of the block, also after an error."""

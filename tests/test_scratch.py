@@ -43,3 +43,13 @@ def test_materialize_keeps_rows_and_schema_even_when_empty(spark):
 def test_shuffle_partitions_grow_with_the_data():
     assert session.settings(0, 8)["spark.sql.shuffle.partitions"] == "8"
     assert int(session.settings(100 * 1024**4, 8)["spark.sql.shuffle.partitions"]) == 204800
+
+
+def test_a_tree_is_released_by_tasks(spark, tmp_path):
+    for name in ("a/1.txt", "a/deep/2.txt", "b c/3.txt", "4.txt"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text("x")
+    for path in (f"file://{tmp_path}/tree", str(tmp_path / "empty")):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        scratch.release_tree(spark, path)
+    assert list(tmp_path.iterdir()) == []

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from plaudit import schemas
 from plaudit.operators import words
+from plaudit.plans import files
+from plaudit.scratch import scratch_dir
 from plaudit.sinks import csv as csv_sink, review_files as file_sink, terms as term_sink
 from plaudit.sources import csv as csv_source, review_files
 
@@ -78,3 +80,22 @@ def test_csv_reads_what_rollover_wrote(spark, reviews, tmp_path):
     csv_sink.write_csv_rollover(reviews, path, part_rows=4)
     back = csv_source.read_reviews(spark, path + "/part=1")
     assert sorted(r.fileIndex for r in back.collect()) == [0, 1, 2, 3]
+
+
+def test_converter_leaves_file_names_to_tasks_and_no_tree(spark, tmp_path, monkeypatch):
+    """What it stores is not read through a driver's list of the tree; only the parts of its tables are left."""
+    docs = [(i, f"text\n{i}", "en", f"src{i % 3}", 6) for i in range(250)] + [(250, None, None, "src1", None)]
+    spark.createDataFrame(docs, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, None) for i in range(0, 250, 2)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    stored, read = [], getattr(files, "store", None)
+    monkeypatch.setattr(files, "store", lambda df, path: stored.append(df.inputFiles()) or read(df, path), raising=False)
+    found = files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df, label: stored.append(df.inputFiles()) or found(df, label))
+    old = set(glob.glob(scratch_dir(spark) + "/convert-*"))
+    rows = files.convert_review_files(spark, str(tmp_path)).collect()
+    assert stored and not [name for names in stored for name in names if name.endswith(".txt")]
+    order = sorted(docs, key=lambda d: (d[3], d[0]))
+    assert sorted((r.fileIndex, r.part, r.productID, r.review) for r in rows) == [
+        (i, i // 100 + 1, d[3], "NA" if d[1] is None else d[1]) for i, d in enumerate(order)]
+    left = set(glob.glob(scratch_dir(spark) + "/convert-*")) - old
+    assert [os.listdir(path) for path in left] == [["parts"]]
